@@ -19,8 +19,12 @@ def utc(us: str) -> Column:
     return F.expr(f"timestampadd(MICROSECOND, {us}, {EPOCH_NTZ})")
 
 
+def cell_of(us: str, width: int) -> str:
+    """SQL for the index of the time cell holding an instant; floors before 1970 too."""
+    return f"(({us}) - pmod({us}, {width}L)) div {width}L"
+
+
 def floor_div(us: Column, width: int) -> Column:
-    """Index of the time cell holding the instant; floors for instants before 1970 too."""
     return ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
 
 

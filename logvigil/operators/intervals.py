@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logvigil.functions.timing import floor_div
+from logvigil.functions.timing import cell_of, floor_div
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -23,43 +23,34 @@ def burst_cells(rows: DataFrame, key: str, width: int, threshold: int, distinct:
     a gap longer than ``width``. Cells are ``width`` long, which gives two exact reductions:
     the gap sessions follow from each cell's first and last instant alone, and the first trigger of a
     session is always among the first ``threshold`` rows (or values) of a cell, since a cell with that
-    many has already triggered.
+    many has already triggered. Spark trims each map task to those rows before the shuffle.
     """
-    rows = rows.withColumn("cell", floor_div(F.col("us"), width))
-    in_key = Window.partitionBy(key)
-    by_cell = in_key.orderBy("cell")
-    sessions = (
-        rows.groupBy(key, "cell").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
-        .withColumn("gap", F.col("lo") - F.lag("hi").over(by_cell))
-        .withColumn("burst", F.max(F.when(F.col("gap").isNull() | (F.col("gap") > width), F.col("lo")))
-                    .over(by_cell.rowsBetween(UNBOUNDED, 0)))
-        .withColumn("session_rows", F.sum("n").over(Window.partitionBy(key, "burst")))
-        .filter(F.col("session_rows") >= threshold)
-        .select(key, "cell", "burst", "hi")
-    )
-    in_time = in_key.orderBy("us")
     if distinct is None:
-        heads = _first_per_cell(rows.select(key, "cell", "us"), [key, "cell"], ["us"], threshold)
-        fires = F.col("us") - F.lag("us", threshold - 1).over(in_time) <= width
+        heads = "SELECT {key}, cell, us, row_number() OVER (PARTITION BY {key}, cell ORDER BY us) AS rank FROM r"
+        reach = "us - lag(us, {n} - 1) OVER (PARTITION BY {key} ORDER BY us) <= {w}"
+        pick = "us"
     else:
         # Of one value in one cell only its first and last row can matter to any trailing window.
-        spans = rows.groupBy(key, "cell", distinct).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-        heads = (_first_per_cell(spans, [key, "cell"], ["lo", distinct], threshold)
-                 .withColumn("us", F.explode(F.array("lo", "hi"))))
-        fires = F.size(F.collect_set(distinct).over(in_time.rangeBetween(-width, 0))) >= threshold
-    triggers = (
-        heads.withColumn("fires", fires).filter("fires")
-        .join(sessions.select(key, "cell", "burst"), [key, "cell"])
-        .groupBy(key, "burst").agg((F.min("us") - width).alias("burst_from"))
-    )
-    return (sessions.join(triggers, [key, "burst"]).filter(F.col("hi") >= F.col("burst_from"))
-            .select(key, "cell", "burst", "burst_from"))
-
-
-def _first_per_cell(rows: DataFrame, cell: list[str], order: list[str], n: int) -> DataFrame:
-    """First n rows per cell; Spark trims each map task to n per cell before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+        heads = ("SELECT *, row_number() OVER (PARTITION BY {key}, cell ORDER BY lo, value) AS rank FROM ("
+                 "SELECT {key}, cell, {value} AS value, min(us) AS lo, max(us) AS hi FROM r GROUP BY {key}, cell, {value})")
+        reach = ("size(collect_set(value) OVER (PARTITION BY {key} ORDER BY us "
+                 "RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)) >= {n}")
+        pick = "value, explode(array(lo, hi)) AS us"
+    names = {"key": key, "n": threshold, "w": f"{width}L", "value": distinct}
+    heads, reach = heads.format(**names), reach.format(**names)
+    return rows.sparkSession.sql(f"""
+        WITH r AS (SELECT *, {cell_of('us', width)} AS cell FROM {{rows}}),
+        spans AS (SELECT {key}, cell, min(us) AS lo, max(us) AS hi FROM r GROUP BY {key}, cell),
+        gaps AS (SELECT *, lo - lag(hi) OVER (PARTITION BY {key} ORDER BY cell) AS gap FROM spans),
+        heads AS (SELECT {key}, cell, {pick} FROM ({heads}) WHERE rank <= {threshold}),
+        triggers AS (SELECT {key}, cell, us FROM (SELECT *, {reach} AS fires FROM heads) WHERE fires),
+        marks AS (
+            SELECT {key}, cell, hi, CASE WHEN gap IS NULL OR gap > {width}L THEN lo END AS opens,
+                   CAST(NULL AS BIGINT) AS fire_us FROM gaps
+            UNION ALL SELECT {key}, cell, NULL, NULL, us FROM triggers),
+        sessions AS (SELECT *, max(opens) OVER (PARTITION BY {key} ORDER BY cell) AS burst FROM marks),
+        bursts AS (SELECT *, min(fire_us) OVER (PARTITION BY {key}, burst) - {width}L AS burst_from FROM sessions)
+        SELECT {key}, cell, burst, burst_from FROM bursts WHERE hi >= burst_from""", rows=rows)
 
 
 def burst_rows(rows: DataFrame, key: str, width: int, threshold: int, distinct: str | None = None) -> DataFrame:
@@ -70,67 +61,59 @@ def burst_rows(rows: DataFrame, key: str, width: int, threshold: int, distinct:
 
 
 def trailing_stats(points: DataFrame, probes: DataFrame, keys: Sequence[str], width: int,
-                   stats: dict[str, tuple[str, Column]]) -> DataFrame:
+                   stats: dict[str, tuple[str, str]]) -> DataFrame:
     """For each distinct probe instant, statistics of the points in ``[us - width, us]`` of the same keys.
 
     An interval join without pairs: with cells exactly ``width`` long, every interval is a suffix of
     one cell plus a prefix of the next. Two running aggregates per (keys, cell) answer all probes, and
-    points are reduced to one row per instant first. ``stats`` maps a name to (sum|min|max, column of
+    points are reduced to one row per instant first. ``stats`` maps a name to (sum|min|max, SQL over
     ``points``). Returns ``keys, us, *stats``; probes with nothing in range have nulls.
     """
-    keys = list(keys)
-    fold = {"sum": F.sum, "min": F.min, "max": F.max}
-    ticks = points.groupBy(*keys, "us").agg(*[fold[kind](col).alias(name) for name, (kind, col) in stats.items()])
-    at = probes.select(*keys, "us").distinct()
-    types = dict((f.name, f.dataType) for f in ticks.schema.fields)
-    empty = [F.lit(None).cast(types[name]).alias(name) for name in stats]
-
-    def side(shift: int, mark: int) -> DataFrame:
-        moved = F.col("us") - shift
-        return at.select(*keys, floor_div(moved, width).alias("cell"), moved.alias("at"), F.lit(mark).alias("mark"),
-                         F.col("us").alias("probe"), *empty)
-
-    rows = (
-        ticks.select(*keys, floor_div(F.col("us"), width).alias("cell"), F.col("us").alias("at"),
-                     F.lit(1).alias("mark"), F.lit(None).cast("bigint").alias("probe"), *stats)
-        .unionByName(side(0, 2)).unionByName(side(width, 0))
-    )
-    cell = Window.partitionBy(*keys, "cell")
-    upto = cell.orderBy("at", "mark").rowsBetween(UNBOUNDED, 0)
-    onward = cell.orderBy(F.desc("at"), F.desc("mark")).rowsBetween(UNBOUNDED, 0)
-    for name, (kind, _) in stats.items():
-        rows = rows.withColumn(f"{name}_upto", fold[kind](name).over(upto))
-    for name, (kind, _) in stats.items():
-        rows = rows.withColumn(f"{name}_onward", fold[kind](name).over(onward))
-    hits = rows.filter("probe IS NOT NULL").select(
-        *keys, F.col("probe").alias("us"),
-        *[F.when(F.col("mark") == 2, F.col(f"{name}_upto")).otherwise(F.col(f"{name}_onward")).alias(name)
-          for name in stats])
-    return hits.groupBy(*keys, "us").agg(*[fold[kind](name).alias(name) for name, (kind, _) in stats.items()])
+    on = "".join(f"{k}, " for k in keys)
+    values = ", ".join(f"{sql} AS {name}" for name, (_, sql) in stats.items())
+    nulls = ", ".join("NULL" for _ in stats)
+    ticks = ", ".join(f"{fold}({name}) AS {name}" for name, (fold, _) in stats.items())
+    spread = ", ".join(f"CASE WHEN mark = 1 THEN {name} END AS {name}" for name in stats)
+    upto = f"(PARTITION BY {on}cell ORDER BY at, mark ROWS UNBOUNDED PRECEDING)"
+    onward = f"(PARTITION BY {on}cell ORDER BY at DESC, mark DESC ROWS UNBOUNDED PRECEDING)"
+    sides = ", ".join(f"CASE WHEN mark = 1 THEN {fold}({name}) OVER {upto} ELSE {fold}({name}) OVER {onward} END AS {name}"
+                      for name, (fold, _) in stats.items())
+    return points.sparkSession.sql(f"""
+        WITH ticks AS (
+            SELECT {on}us, max(probe) AS probe, {ticks} FROM (
+                SELECT {on}us, false AS probe, {values} FROM {{points}}
+                UNION ALL SELECT {on}us, true, {nulls} FROM {{probes}}) GROUP BY {on}us),
+        marks AS (
+            SELECT {on}{cell_of('us', width)} - (1 - mark) AS cell, us - (1 - mark) * {width}L AS at, mark,
+                   CASE WHEN probe THEN us END AS us, {spread}
+            FROM ticks LATERAL VIEW explode(CASE WHEN probe THEN array(1, 0) ELSE array(1) END) AS mark),
+        found AS (SELECT {on}us, {sides} FROM marks)
+        SELECT {on}us, {ticks} FROM found WHERE us IS NOT NULL GROUP BY {on}us""", points=points, probes=probes)
 
 
 def pair_in_range(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Points with the spans ``[span_from, span_to]`` that hold them, joined on (keys, cell of ``width``)."""
-    cells = F.sequence(floor_div(F.col("span_from"), width), floor_div(F.col("span_to"), width))
-    return (points.withColumn("cell", floor_div(F.col("us"), width))
-            .join(spans.withColumn("cell", F.explode(cells)), [*keys, "cell"])
-            .filter(F.col("us").between(F.col("span_from"), F.col("span_to"))).drop("cell"))
+    on = ", ".join([*keys, "cell"])
+    return points.sparkSession.sql(f"""
+        SELECT * EXCEPT (cell) FROM (SELECT *, {cell_of('us', width)} AS cell FROM {{points}})
+        JOIN (SELECT *, explode(sequence({cell_of('span_from', width)}, {cell_of('span_to', width)})) AS cell FROM {{spans}})
+        USING ({on}) WHERE us BETWEEN span_from AND span_to""", points=points, spans=spans)
 
 
 def with_previous(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str,
                   name: str) -> DataFrame:
-    """``lag(value)`` per keys, computed per (keys, chunk) with the tail of the chunk before carried in.
+    """The last non-null ``value`` before each row per keys, found per (keys, chunk) with a carried tail.
 
     ``chunk`` must grow with ``order``. Only one row per chunk is ever ordered within a whole key.
     """
     keys = list(keys)
-    local = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, chunk).orderBy(*order))
-    tails = (
-        rows.groupBy(*keys, chunk).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("tail"))
-        .withColumn("before", F.lag("tail").over(Window.partitionBy(*keys).orderBy(chunk))).drop("tail")
-    )
-    return (rows.withColumn("local", local).join(tails, [*keys, chunk])
-            .withColumn(name, F.coalesce("local", "before")["v"]).drop("local", "before"))
+    before_row = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(UNBOUNDED, -1)
+    before_chunk = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(UNBOUNDED, -1)
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    tails = (rows.groupBy(*keys, chunk).agg(F.max_by(value, place).alias("tail"))
+             .withColumn("carried", F.last("tail", ignorenulls=True).over(before_chunk)).drop("tail"))
+    return (rows.withColumn("local", F.last(value, ignorenulls=True).over(before_row)).join(tails, [*keys, chunk])
+            .withColumn(name, F.coalesce("local", "carried")).drop("local", "carried"))
 
 
 def with_running_sum(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str,

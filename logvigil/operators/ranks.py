@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from logvigil.session import settled
 
 DIGIT_BITS = 16
 
 
-def exact_median(rows: DataFrame, column: str) -> DataFrame:
-    """One row ``median double``: the middle value, or the mean of the two middle values.
+def exact_median(rows: DataFrame, column: str) -> float | None:
+    """The middle value, or the mean of the two middle values.
 
     Spark's ``median`` keeps every distinct value in one task. Here the two middle ranks are narrowed
-    down 16 bits at a time: each of the four rounds counts at most 65,536 digits per rank.
+    down 16 bits at a time: a round counts at most 65,536 digits per rank and hands back two rows.
     """
-    values = rows.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL")
-    n = values.agg(F.count("*").alias("n"))
-    # rank is 0-based within the values that share ``prefix``.
-    middles = F.posexplode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
-    state = n.filter("n > 0").select(middles.alias("middle", "rank"), F.lit(0).cast("bigint").alias("prefix"))
-    for level in (3, 2, 1, 0):
+    values = settled(rows.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL"), "totals")
+    size = values.agg(F.count("*").alias("n"), F.max("v").alias("top")).first()
+    if not size["n"]:
+        return None
+    # (rank among the values sharing the prefix, prefix) of both middles.
+    middles = [((size["n"] - 1) // 2, 0), (size["n"] // 2, 0)]
+    for level in range(max(0, size["top"].bit_length() - 1) // DIGIT_BITS, -1, -1):
         low = level * DIGIT_BITS
-        high = F.shiftright("v", low + DIGIT_BITS) if level < 3 else F.lit(0).cast("bigint")
-        digits = (
-            values.select(high.alias("prefix"), F.shiftright("v", low).bitwiseAND((1 << DIGIT_BITS) - 1).alias("digit"))
-            .join(F.broadcast(state), "prefix")
-            .groupBy("middle", "rank", "prefix", "digit").agg(F.count("*").alias("n"))
-            .withColumn("upto", F.sum("n").over(Window.partitionBy("middle").orderBy("digit")))
-        )
-        state = digits.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).select(
-            "middle", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
-            (F.shiftleft("prefix", DIGIT_BITS) + F.col("digit")).alias("prefix"))
-    return state.agg(F.avg("prefix").alias("median"))
+        wanted = ", ".join(f"({i}, {rank}L, {prefix}L)" for i, (rank, prefix) in enumerate(middles))
+        prefixes = ", ".join(f"{prefix}L" for _, prefix in middles)
+        found = rows.sparkSession.sql(f"""
+            SELECT middle, rank - upto + n AS rank, shiftleft(prefix, {DIGIT_BITS}) + digit AS prefix FROM (
+                SELECT *, sum(n) OVER (PARTITION BY prefix ORDER BY digit) AS upto FROM (
+                    SELECT shiftright(shiftright(v, {low}), {DIGIT_BITS}) AS prefix,
+                           shiftright(v, {low}) & {(1 << DIGIT_BITS) - 1}L AS digit, count(*) AS n
+                    FROM {{values}} WHERE shiftright(shiftright(v, {low}), {DIGIT_BITS}) IN ({prefixes}) GROUP BY 1, 2))
+            JOIN VALUES {wanted} AS w(middle, rank, prefix) USING (prefix)
+            WHERE upto > rank AND upto - n <= rank ORDER BY middle""", values=values).collect()
+        middles = [(r["rank"], r["prefix"]) for r in found]
+    return sum(prefix for _, prefix in middles) / 2

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from logvigil.config import HOUR, Thresholds
 from logvigil.functions.net import subnet
 from logvigil.functions.text import one_decimal, scanner_tool, shown, signature, url_decoded
-from logvigil.functions.timing import clock, floor_div, hour_of_day, whole_minutes
+from logvigil.functions.timing import cell_of, clock, floor_div, hour_of_day, whole_minutes
 from logvigil.operators.baseline import judged_logins, known_addresses, normal_hours
-from logvigil.operators.intervals import (UNBOUNDED, burst_cells, burst_rows, numbered, pair_in_range, trailing_stats)
+from logvigil.operators.intervals import burst_cells, burst_rows, numbered, pair_in_range, trailing_stats
 from logvigil.operators.ranks import exact_median
+from logvigil.session import settled
 
 # Rule, name, severity, points, stage, tactic, technique.
 RULES = [
@@ -59,9 +60,12 @@ def rule_table(spark: SparkSession) -> DataFrame:
                      "stage, tactic, default_technique)")
 
 
+# Sortable reference to an event; its minimum is the first event in time order.
+EVENT_REF = "struct(us, file, line_no, id AS event_id)"
+
+
 def event_ref() -> Column:
-    """Sortable reference to an event; its minimum is the first event in time order."""
-    return F.struct("us", "file", "line_no", F.col("id").alias("event_id"))
+    return F.expr(EVENT_REF)
 
 
 def _alerts(df: DataFrame, rule: str, reason: Column, ip: Column | None = None, user: Column | None = None,
@@ -167,7 +171,7 @@ def with_typo_flag(events: DataFrame, cfg: Thresholds) -> DataFrame:
               .withColumn("who", F.coalesce(F.col("user"), F.lit(NO_USER))))
     keys = ["src_ip", "who"]
     ahead = fails.select(*keys, (F.col("us") + cfg.r3_typo_window).alias("us"))
-    found = (trailing_stats(logins, ahead, keys, cfg.r3_typo_window, {"next_success_us": ("min", F.col("us"))})
+    found = (trailing_stats(logins, ahead, keys, cfg.r3_typo_window, {"next_success_us": ("min", "us")})
              .filter("next_success_us IS NOT NULL").withColumn("us", F.col("us") - cfg.r3_typo_window))
     return fails.join(found, [*keys, "us"], "left").drop("who")
 
@@ -177,6 +181,7 @@ def r3_low_and_slow(events: DataFrame, cfg: Thresholds, loud: DataFrame) -> Find
     quiet = (with_typo_flag(events, cfg).filter("next_success_us IS NULL").drop("next_success_us")
              .join(loud.select("src_ip").distinct(), "src_ip", "left_anti")
              .withColumn("subnet", subnet(F.col("src_ip"))))
+    quiet = settled(quiet, "quiet-failures")
     rows = burst_rows(quiet, "subnet", cfg.r3_window, cfg.r3_threshold)
     per_ip = rows.groupBy("subnet", "burst", "src_ip").agg(*_span_of_refs())
     total = per_ip.groupBy("subnet", "burst").agg(
@@ -200,7 +205,7 @@ def r4_login_after_failures(events: DataFrame, cfg: Thresholds) -> Finding:
     fails = ssh_failures(events)
     logins = _typed(events, "ssh_success").filter("src_ip IS NOT NULL")
     prior = trailing_stats(fails, logins, ["src_ip"], cfg.r4_lookback,
-                           {"prior": ("sum", F.lit(1).cast("bigint")), "first": ("min", event_ref())})
+                           {"prior": ("sum", "1L"), "first": ("min", EVENT_REF)})
     hits = (logins.join(prior.filter(F.col("prior") >= cfg.r4_fail_threshold), ["src_ip", "us"])
             .select("src_ip", "user", "file", "line_no", "prior", F.col("id").alias("login_id"),
                     F.col("us").alias("last_us"), (F.col("prior") + 1).alias("count"),
@@ -257,8 +262,7 @@ def r7_privilege_use(events: DataFrame, cfg: Thresholds, logins: DataFrame) -> F
     sudo = _typed(events, "sudo").filter(F.coalesce(F.col("user"), F.lit("")) != "")
     ahead = logins.select("user", (F.col("login_us") + cfg.r7_window).alias("us"))
     used = (trailing_stats(sudo, ahead, ["user"], cfg.r7_window,
-                           {"count": ("sum", F.lit(1).cast("bigint")), "first": ("min", event_ref()),
-                            "last_us": ("max", F.col("us"))})
+                           {"count": ("sum", "1L"), "first": ("min", EVENT_REF), "last_us": ("max", "us")})
             .filter("count IS NOT NULL").withColumn("login_us", F.col("us") - cfg.r7_window)
             .select("user", "login_us", "count", "last_us", F.col("first.us").alias("first_us"),
                     F.col("first.event_id").alias("first_id")))
@@ -278,7 +282,7 @@ def r7_privilege_use(events: DataFrame, cfg: Thresholds, logins: DataFrame) -> F
 def r8_account_change(events: DataFrame, cfg: Thresholds, sessions: DataFrame) -> Finding:
     """``sessions`` holds the R7 alerts. The band join has no key, so only time cells bind the two sides."""
     changes = _typed(events, "user_add", "group_add")
-    latest = F.struct("login_us", "seen_by", "file", "line_no", "user", "src_ip", F.col("first_us").alias("root_us"))
+    latest = "struct(login_us, seen_by, file, line_no, user, src_ip, first_us AS root_us)"
     points = sessions.withColumn("us", F.col("first_us"))
     near = (trailing_stats(points, changes, [], cfg.r7_window, {"session": ("max", latest)})
             .filter("session IS NOT NULL"))
@@ -351,11 +355,10 @@ def transfers(events: DataFrame) -> DataFrame:
             .select("id", "us", "file", "line_no", "src_ip", F.col("http.bytes").alias("bytes")))
 
 
-def transfer_threshold(web: DataFrame, cfg: Thresholds) -> DataFrame:
-    """One row: the exact median of the per-address totals and the byte threshold it implies."""
-    median = exact_median(web.groupBy("src_ip").agg(F.sum("bytes").alias("total")), "total")
-    relative = F.greatest(F.col("median") * cfg.r11_median_multiplier, F.lit(float(cfg.r11_min_bytes)))
-    return median.withColumn("threshold", F.least(F.lit(float(cfg.r11_abs_bytes)), relative))
+def transfer_threshold(web: DataFrame, cfg: Thresholds) -> tuple[float, float]:
+    """Exact median of the per-address totals, and the byte threshold it implies."""
+    median = exact_median(web.groupBy("src_ip").agg(F.sum("bytes").alias("total")), "total") or 0.0
+    return median, float(min(cfg.r11_abs_bytes, max(cfg.r11_median_multiplier * median, cfg.r11_min_bytes)))
 
 
 def _separated(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -380,47 +383,44 @@ def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
     start more than a window after the last one. Prefix sums per (address, window cell) find the starts;
     only their distinct instants go through the sequential choice.
     """
-    width = cfg.r11_window
-    web = transfers(events).withColumn("cell", floor_div(F.col("us"), width))
-    limit = transfer_threshold(web, cfg)
-    threshold, median = limit.select("threshold").scalar(), limit.select("median").scalar()
-    # A window spans at most two cells, so pairs of quiet cells need no look at their rows.
-    near = Window.partitionBy("src_ip").orderBy("cell").rangeBetween(-1, 0)
-    loud = (web.groupBy("src_ip", "cell").agg(F.sum("bytes").alias("volume"))
-            .withColumn("volume", F.sum("volume").over(near)).filter(F.col("volume") > threshold)
-            .select("src_ip", F.col("cell").alias("block")))
-    member = F.explode(F.array(F.col("block") - 1, F.col("block")))
-    rows = web.join(loud.select("src_ip", "block", member.alias("cell")), ["src_ip", "cell"])
-    block = Window.partitionBy("src_ip", "block")
-    in_order = block.orderBy("us", "file", "line_no").rowsBetween(UNBOUNDED, 0)
-    rows = rows.withColumn("upto", F.sum("bytes").over(in_order))
-    # i(j) is the last row whose preceding total is below total(j) - threshold: look it up by total.
-    start = F.struct("us", "file", "line_no", F.col("id").alias("event_id"))
-    looked_up = (
-        rows.select("src_ip", "block", F.explode(F.array(
-            F.struct((F.col("upto") - F.col("bytes")).cast("double").alias("total"), F.lit(1).alias("mark"),
-                     F.lit(None).cast("bigint").alias("end_us"), start.alias("start")),
-            F.struct((F.col("upto") - threshold).alias("total"), F.lit(0).alias("mark"),
-                     F.when(F.col("cell") == F.col("block"), F.col("us")).alias("end_us"),
-                     F.lit(None).cast("struct<us:bigint,file:string,line_no:bigint,event_id:string>").alias("start"))
-        )).alias("p")).select("src_ip", "block", "p.*")
-        .withColumn("start", F.last("start", ignorenulls=True).over(
-            block.orderBy("total", "mark").rowsBetween(UNBOUNDED, 0)))
-        .filter("mark = 0 AND end_us IS NOT NULL AND start IS NOT NULL")
-        .filter(F.col("end_us") - F.col("start.us") <= width)
-    )
-    starts = looked_up.groupBy("src_ip", F.col("start.us").alias("us")).agg(F.min("start").alias("start"))
-    by_time = Window.partitionBy("src_ip").orderBy("us")
-    runs = (starts.withColumn("gap", F.col("us") - F.lag("us").over(by_time))
-            .withColumn("run", F.sum(F.when(F.col("gap") > width, 1).otherwise(0)).over(by_time)))
-    schema = "src_ip string, run bigint, us bigint"
-    kept = runs.select("src_ip", "run", "us").groupBy("src_ip", "run").applyInPandas(_separated(width), schema)
-    bursts = kept.drop("run").join(starts, ["src_ip", "us"]).select(
-        "src_ip", "start", F.col("us").alias("span_from"), (F.col("us") + width).alias("span_to"))
-    inside = (pair_in_range(web.drop("cell"), bursts, ["src_ip"], width)
-              .filter(F.struct("us", "file", "line_no") >= F.struct("start.us", "start.file", "start.line_no")))
+    width, spark = cfg.r11_window, events.sparkSession
+    web = transfers(events)
+    median, limit = transfer_threshold(web, cfg)
+    threshold = f"{limit!r}D"
+    starts = spark.sql(f"""
+        WITH rows AS (SELECT *, {cell_of('us', width)} AS cell FROM {{web}}),
+        -- A window spans at most two cells, so pairs of quiet cells need no look at their rows.
+        loud AS (
+            SELECT src_ip, cell AS block FROM (
+                SELECT src_ip, cell, sum(sum(bytes)) OVER (
+                    PARTITION BY src_ip ORDER BY cell RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS volume
+                FROM rows GROUP BY src_ip, cell) WHERE volume > {threshold}),
+        parts AS (SELECT src_ip, block, explode(array(block - 1, block)) AS cell FROM loud),
+        summed AS (
+            SELECT src_ip, block, cell, us, bytes, struct(us, file, line_no, id AS event_id) AS row,
+                   sum(bytes) OVER (PARTITION BY src_ip, block ORDER BY us, file, line_no ROWS UNBOUNDED PRECEDING) AS upto
+            FROM rows JOIN parts USING (src_ip, cell)),
+        -- i(j) is the last row whose preceding total is below total(j) - threshold: look it up by total.
+        totals AS (
+            SELECT src_ip, block, CAST(upto - bytes AS DOUBLE) AS total, 1 AS mark, CAST(NULL AS BIGINT) AS end_us, row
+            FROM summed
+            UNION ALL SELECT src_ip, block, upto - {threshold}, 0, us, NULL FROM summed WHERE cell = block),
+        found AS (
+            SELECT src_ip, mark, end_us, last(row, true) OVER (
+                PARTITION BY src_ip, block ORDER BY total, mark ROWS UNBOUNDED PRECEDING) AS start FROM totals)
+        SELECT src_ip, start.us AS us, min(start) AS start FROM found
+        WHERE mark = 0 AND end_us - start.us <= {width}L GROUP BY src_ip, start.us""", web=web)
+    runs = spark.sql(f"""
+        SELECT src_ip, sum(CASE WHEN gap > {width}L THEN 1L ELSE 0L END) OVER (PARTITION BY src_ip ORDER BY us) AS run,
+               us, start.file AS file, start.line_no AS line_no, start.event_id AS event_id
+        FROM (SELECT *, us - lag(us) OVER (PARTITION BY src_ip ORDER BY us) AS gap FROM {{starts}})""", starts=starts)
+    kept = runs.groupBy("src_ip", "run").applyInPandas(_separated(width), runs.schema)
+    bursts = settled(kept.selectExpr("src_ip", "struct(us, file, line_no, event_id) AS start", "us AS span_from",
+                                     f"us + {width}L AS span_to"), "transfer-bursts")
+    inside = (pair_in_range(web, bursts, ["src_ip"], width)
+              .filter("struct(us, file, line_no) >= struct(start.us, start.file, start.line_no)"))
     spans = (inside.groupBy("src_ip", "start").agg(*_span(), F.sum("bytes").alias("sent"))
-             .withColumn("first_id", F.col("start.event_id")).withColumn("median", median))
+             .withColumn("first_id", F.col("start.event_id")).withColumn("median", F.lit(median)))
     reason = _text("Possible data exfiltration indicated by unusually large HTTP response volume: ",
                    one_decimal(F.col("sent") / F.lit(1e6)), " MB sent to ", F.col("src_ip"), " in ", F.col("count"),
                    f" response(s) within {width // 60_000_000} min (median per-IP total: ",
@@ -433,9 +433,14 @@ def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
 
 
 def run_rules(events: DataFrame, cfg: Thresholds) -> dict[str, Finding]:
-    r1 = r1_brute_force(events, cfg)
-    r4, r5, r6 = r4_login_after_failures(events, cfg), r5_off_hours(events, cfg), r6_new_source(events, cfg)
-    r7 = r7_privilege_use(events, cfg, suspicious_logins(r4.alerts, r5.alerts, r6.alerts))
+    """All findings. Alerts that feed later rules are written once instead of being derived again."""
+    def written(found: Finding, rule: str) -> Finding:
+        return Finding(settled(found.alerts, rule), found.evidence)
+
+    r1 = written(r1_brute_force(events, cfg), "r1")
+    r4 = written(r4_login_after_failures(events, cfg), "r4")
+    r5, r6 = written(r5_off_hours(events, cfg), "r5"), written(r6_new_source(events, cfg), "r6")
+    r7 = written(r7_privilege_use(events, cfg, suspicious_logins(r4.alerts, r5.alerts, r6.alerts)), "r7")
     return {
         "R1": r1, "R2": r2_password_spraying(events, cfg), "R3": r3_low_and_slow(events, cfg, r1.alerts), "R4": r4,
         "R5": r5, "R6": r6, "R7": r7, "R8": r8_account_change(events, cfg, r7.alerts),

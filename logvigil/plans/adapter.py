@@ -11,17 +11,19 @@ from logvigil.functions.timing import micros
 
 # The table holds a few rows per user and day, so the windows are hours instead of minutes.
 SCALED = replace(
-    DEFAULT, r1_threshold=5, r1_window=12 * HOUR, r2_distinct_users=3, r2_window=24 * HOUR, r3_threshold=8,
-    r3_window=24 * HOUR, r3_typo_window=30 * MINUTE, r4_fail_threshold=3, r4_lookback=24 * HOUR,
-    baseline_min_logins=3, r7_window=24 * HOUR, r9_threshold=5, r9_window=24 * HOUR, r11_window=24 * HOUR,
-    correlation_window=6 * HOUR)
-
-PATHS = [
-    "/index.html", "/products?id=%27%20OR%20%271%27%3D%271", "/search?q=%3Cscript%3Ealert(1)%3C/script%3E",
-    "/download?f=..%2F..%2Fetc%2Fpasswd", "/ping?host=1.1.1.1%3Bcat%20x", "/about-us", "/api/status?x=1",
-    "/items?id=1+UNION+SELECT+name+FROM+users", "/odd?p=100%zz+off", "/login",
+    DEFAULT, r1_threshold=5, r1_window=12 * HOUR, r2_distinct_users=3, r2_window=6 * HOUR, r3_threshold=6,
+    r3_window=8 * HOUR, r3_typo_window=30 * MINUTE, r4_fail_threshold=3, r4_lookback=12 * HOUR,
+    baseline_min_logins=3, r7_window=6 * HOUR, r9_threshold=5, r9_window=12 * HOUR, r11_window=12 * HOUR,
+    r11_abs_bytes=40_000_000, correlation_window=1 * HOUR)
+
+ATTACKS = [
+    "/products?id=%27%20OR%20%271%27%3D%271", "/search?q=%3Cscript%3Ealert(1)%3C/script%3E",
+    "/download?f=..%2F..%2Fetc%2Fpasswd", "/ping?host=1.1.1.1%3Bcat%20x", "/items?id=1+UNION+SELECT+name+FROM+users",
+    "/login?next=javascript:alert(1)",
 ]
-AGENTS = ["Mozilla/5.0", "curl/8.5", "sqlmap/1.8", "Mozilla/5.0", "Wget/1.21"]
+PAGES = ["/index.html", "/about-us", "/api/status?x=1", "/odd?p=100%zz+off", "/login"]
+SCANNERS = ["sqlmap/1.8", "gobuster/3.6", "Nikto/2.5"]
+BROWSERS = ["Mozilla/5.0", "curl/8.5", "Wget/1.21"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,10 @@ def _sql_list(values: list[str]) -> str:
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One security event per source row: four users share an address, sixteen a /24."""
+    """One security event per source row: four users share an address, sixteen a /24.
+
+    Every eighth address sends attack payloads, another eighth scans; one login in ten comes from elsewhere.
+    """
     base = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", micros("ts").alias("us"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -41,18 +46,22 @@ def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE event_type WHEN 'error' THEN 'ssh_fail' WHEN 'signup' THEN 'ssh_success'
              WHEN 'purchase' THEN CASE WHEN k % 10 = 0 THEN 'user_add' WHEN k % 10 = 1 THEN 'group_add' ELSE 'sudo' END
              ELSE 'http_request' END"""))
-    grouped = typed.withColumn("g", F.expr("user_id div 4 + CASE WHEN type = 'ssh_success' AND k % 5 = 0 THEN 1 ELSE 0 END"))
+    grouped = typed.withColumn("g", F.expr("user_id div 4"))
     return grouped.select(
         F.concat(F.lit("events:"), F.col("event_id").cast("string")).alias("id"), "us",
         F.expr("CASE WHEN type = 'http_request' THEN 'web' ELSE 'auth' END").alias("source"), "type",
         F.expr("""CASE WHEN event_type = 'purchase' OR (event_type = 'view' AND k = 97) THEN NULL
+                       WHEN type = 'ssh_success' AND k % 10 = 5
+                       THEN '10.200.' || (user_id div 256 % 256) || '.' || (user_id % 256)
                        ELSE '10.' || (g div 65536 % 256) || '.' || (g div 4 % 256) || '.' || (g % 4 + 1) END""").alias("src_ip"),
         F.expr("CASE WHEN type != 'http_request' THEN 'user' || user_id END").alias("user"),
         F.lit("host1").alias("host"),
         F.expr(f"""CASE WHEN type = 'http_request' THEN named_struct(
-                'method', 'GET', 'path', {_sql_list(PATHS)}[k % {len(PATHS)}],
+                'method', 'GET', 'path', CASE WHEN g % 8 = 3 AND k % 4 = 0 THEN {_sql_list(ATTACKS)}[k div 4 % {len(ATTACKS)}]
+                             ELSE {_sql_list(PAGES)}[k % {len(PAGES)}] END,
                 'status', CASE WHEN k % 3 = 0 THEN 404 ELSE 200 END,
-                'bytes', CAST(value * 100000 AS BIGINT), 'ua', {_sql_list(AGENTS)}[k div 10 % {len(AGENTS)}]) END
+                'bytes', CAST(value * 100000 AS BIGINT), 'ua', CASE WHEN g % 8 = 5 AND k % 10 = 0 THEN {_sql_list(SCANNERS)}[k div 10 % {len(SCANNERS)}]
+                           ELSE {_sql_list(BROWSERS)}[k % {len(BROWSERS)}] END) END
             """).alias("http"),
         F.lit("events").alias("file"), F.col("event_id").alias("line_no"),
         F.concat_ws(" ", F.lit("event"), F.col("event_id").cast("string"), "event_type").alias("raw"))
