@@ -191,7 +191,8 @@ def f4(spark, sf):
         WHEN 0 THEN '04/Oct/2026:14:02:' || lpad(event_id % 60, 2, '0') || ' +0530'
         WHEN 1 THEN '29/Feb/2026:14:02:10 +0000' WHEN 2 THEN '31/Dec/2025:23:' || lpad(event_id % 60, 2, '0') || ':59 -0130'
         ELSE '01/Xyz/2026:00:00:00 +0000' END""").alias("text"))
-    return rows.select("event_id", F.expr(formats.access_time("text")).alias("us")).select("event_id", utc("us").alias("ts"))
+    rows = formats.staged(rows, ["event_id"], t=formats.time_fields("text"))
+    return rows.select("event_id", F.expr(formats.time_of_fields("t")).alias("us")).select("event_id", utc("us").alias("ts"))
 
 
 def json_values(spark, sf):
@@ -220,8 +221,9 @@ def f6(spark, sf):
 
 
 def f7(spark, sf):
-    return json_values(spark, sf).selectExpr("event_id", f"{formats._get('ts')} AS t").selectExpr(
-        "event_id", f"{formats.flexible_time('t')} AS us").select("event_id", utc("us").alias("ts"))
+    rows = formats.staged(json_values(spark, sf), ["event_id"], t=formats._get("ts"))
+    rows = formats.staged(rows, ["event_id"], **formats.time_parts("t"))
+    return rows.selectExpr("event_id", f"{formats.time_of_parts('iso', 'epoch')} AS us").select("event_id", utc("us").alias("ts"))
 
 
 def web(spark, sf):

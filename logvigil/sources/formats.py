@@ -56,6 +56,19 @@ def _month(name: str) -> str:
     return "array_position(array(" + ", ".join(f"'{m}'" for m in MONTHS) + f"), {name})"
 
 
+def staged(rows: DataFrame, keep: list[str], **columns: Column | str) -> DataFrame:
+    """Adds columns that later steps use many times.
+
+    As a one-row generator they are computed once per row; a plain projection would be merged into every
+    later use, and filters on later columns would repeat it.
+    """
+    values = [(F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    return rows.select(*keep, F.inline(F.array(F.struct(*values))))
+
+
+LINE = ["file", "line_no", "raw"]
+
+
 def _fields(pattern: str, groups: int) -> Column:
     """All groups of one match as an array, or null. Lines hold no line feed, so it can separate."""
     joined = F.regexp_replace("raw", pattern + r"[^\n]*", "\n".join(f"${i}" for i in range(1, groups + 1)))
@@ -103,8 +116,8 @@ def with_year(lines: DataFrame, cfg: Thresholds) -> DataFrame:
 
 
 def parse_auth(lines: DataFrame, cfg: Thresholds) -> DataFrame:
-    fields = lines.withColumn("f", _fields(AUTH_LINE, 8))
-    numbers = fields.select("file", "line_no", "raw", "f", F.expr(_month("f[0]")).alias("month"), *[
+    fields = staged(lines, LINE, f=_fields(AUTH_LINE, 8))
+    numbers = fields.select(*LINE, "f", F.expr(_month("f[0]")).alias("month"), *[
         F.expr(f"try_cast(f[{i}] AS INT)").alias(n) for i, n in ((1, "day"), (2, "hh"), (3, "mm"), (4, "ss"))])
     # Day numbers of a common year; 29 February stands in for 1 March until the year is known.
     good = "month > 0 AND day BETWEEN 1 AND array(31,29,31,30,31,30,31,31,30,31,30,31)[month - 1] AND hh < 24 AND mm < 60 AND ss < 60"
@@ -125,29 +138,33 @@ def parse_auth(lines: DataFrame, cfg: Thresholds) -> DataFrame:
         ip = F.regexp_extract(msg, pattern, ip_group) if ip_group else F.lit(None).cast("string")
         found = found.when(applies & msg.rlike(pattern), F.struct(
             F.lit(kind).alias("type"), F.nullif(F.regexp_extract(msg, pattern, user_group), F.lit("")).alias("user"), ip.alias("ip")))
-    rows = dated.withColumn("e", F.when(F.col("us").isNotNull(), found))
+    rows = staged(dated, [*LINE, "us", "f"], e=F.when(F.col("us").isNotNull(), found))
     return rows.select(*_line(F.col("us").isNotNull(), F.col("us"), F.col("e.type"), clean_ip(F.col("e.ip")), F.col("e.user"),
-                              F.col("f")[5], F.lit(None).cast(HTTP)))
+                              F.when(F.col("us").isNotNull(), F.col("f")[5]), F.lit(None).cast(HTTP)))
 
 
 # --- Combined access lines (S6, F4) ---------------------------------------------------------------
 
 
-def access_time(text: str) -> str:
-    """SQL for epoch microseconds of ``04/Oct/2026:14:02:10 +0530``, null where it is not a time."""
-    t = f"split(regexp_replace({text}, '{ACCESS_TIME}', '$1,$2,$3,$4,$5,$6,$7,$8,$9'), ',')"
-    part = [f"try_cast({t}[{i}] AS INT)" for i in range(9)]
-    local = f"try_make_timestamp_ntz({part[2]}, {_month(t + '[1]')}, {part[0]}, {part[3]}, {part[4]}, {part[5]})"
-    offset = f"({part[7]} * 60L + {part[8]}) * CASE WHEN {t}[6] = '-' THEN -1 ELSE 1 END"
-    return (f"CASE WHEN {text} RLIKE '{ACCESS_TIME}' AND {part[5]} < 60 AND {part[7]} * 60 + {part[8]} < 1440 AND "
-            f"{_month(t + '[1]')} > 0 THEN timestampdiff(MICROSECOND, {EPOCH_NTZ}, {local}) - {offset} * {MINUTE}L END"
-            ).replace("\\", "\\\\")
+def time_fields(text: str) -> str:
+    """SQL for the nine parts of ``04/Oct/2026:14:02:10 +0530`` as an array, null where it has another form."""
+    pattern = ACCESS_TIME.replace("\\", "\\\\")
+    return f"CASE WHEN {text} RLIKE '{pattern}' THEN split(regexp_replace({text}, '{pattern}', '$1,$2,$3,$4,$5,$6,$7,$8,$9'), ',') END"
+
+
+def time_of_fields(t: str) -> str:
+    """SQL for epoch microseconds of those parts, null where they are no time."""
+    part = [f"CAST({t}[{i}] AS INT)" if i not in (1, 6) else f"{t}[{i}]" for i in range(9)]
+    local = f"try_make_timestamp_ntz({part[2]}, {_month(part[1])}, {part[0]}, {part[3]}, {part[4]}, {part[5]})"
+    offset = f"({part[7]} * 60L + {part[8]}) * CASE WHEN {part[6]} = '-' THEN -1 ELSE 1 END"
+    return (f"CASE WHEN {part[5]} < 60 AND {part[7]} * 60 + {part[8]} < 1440 AND {_month(part[1])} > 0 THEN "
+            f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {local}) - {offset} * {MINUTE}L END")
 
 
 def parse_access(lines: DataFrame) -> DataFrame:
-    rows = (lines.withColumn("f", _fields(ACCESS_LINE, 8)).withColumn("ip", clean_ip(F.col("f")[0]))
-            .withColumn("t", F.col("f")[1]))
-    rows = rows.withColumn("us", F.when(F.col("ip").isNotNull(), F.expr(access_time("t"))))
+    rows = staged(lines, LINE, f=_fields(ACCESS_LINE, 8))
+    rows = staged(rows, [*LINE, "f"], ip=clean_ip(F.col("f")[0]), t=time_fields("f[1]"))
+    rows = staged(rows, [*LINE, "f", "ip"], us=F.when(F.col("ip").isNotNull(), F.expr(time_of_fields("t"))))
     http = F.struct(F.col("f")[2].alias("method"), F.col("f")[3].alias("path"), F.expr("try_cast(f[5] AS INT)").alias("status"),
                     F.expr("CASE WHEN f[6] = '-' THEN 0L ELSE try_cast(f[6] AS BIGINT) END").alias("bytes"),
                     F.nullif(F.col("f")[7], F.lit("")).alias("ua"))
@@ -205,22 +222,26 @@ def lenient_int(value: str) -> str:
 ISO = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[^0-9]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?(?:([+-])([0-9]{2}):?([0-9]{2})?)?)?$"
 
 
-def flexible_time(value: str) -> str:
-    """Epoch seconds, epoch milliseconds above 1e12, or ISO-8601 text with naive times as UTC."""
-    number = f"try_variant_get({value}, '$', 'double')"
+def time_parts(value: str) -> dict[str, str]:
+    """SQL for what a JSON time may be: its kind, its number, and the parts of an ISO-8601 text."""
     text = f"replace(trim(try_variant_get({value}, '$', 'string')), 'Z', '+00:00')"
-    part = [f"regexp_extract({text}, '{ISO}', {i})" for i in range(11)]
-    whole = [f"CAST(coalesce(nullif({p}, ''), '0') AS INT)" for p in part]
-    local = f"try_make_timestamp_ntz({whole[1]}, {whole[2]}, {whole[3]}, {whole[4]}, {whole[5]}, {whole[6]})"
-    micro = f"CAST(rpad(substring({part[7]}, 1, 6), 6, '0') AS BIGINT)"
-    offset = f"({whole[9]} * 60L + {whole[10]}) * CASE WHEN {part[8]} = '-' THEN -1 ELSE 1 END"
-    iso = (f"CASE WHEN {text} RLIKE '{ISO}' AND {whole[6]} < 60 AND {whole[9]} < 24 THEN "
-           f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {local}) + {micro} - {offset} * {MINUTE}L END")
-    epoch = (f"CASE WHEN {number} > 1e12 THEN {number} / 1000 ELSE {number} END")
-    flag = f"CAST(try_variant_get({value}, '$', 'boolean') AS BIGINT) * 1000000L"
-    return (f"CASE WHEN {_type(value)} = 'STRING' THEN {iso} WHEN {_type(value)} = 'BOOLEAN' THEN {flag} "
-            f"WHEN {_type(value)} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' AND {epoch} BETWEEN -62135596800 AND 253402300799 "
-            f"THEN CAST(bround({epoch} * 1000000) AS BIGINT) END")
+    groups = ",".join(f"${i}" for i in range(1, 11))
+    iso = f"CASE WHEN {_type(value)} = 'STRING' AND {text} RLIKE '{ISO}' THEN split(regexp_replace({text}, '{ISO}', '{groups}'), ',') END"
+    number = f"try_variant_get({value}, '$', 'double')"
+    epoch = (f"CASE WHEN {_type(value)} = 'BOOLEAN' THEN CAST(CAST(try_variant_get({value}, '$', 'boolean') AS INT) AS DOUBLE) "
+             f"WHEN {_type(value)} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' THEN CASE WHEN {number} > 1e12 THEN {number} / 1000 ELSE {number} END END")
+    return {"iso": iso, "epoch": epoch}
+
+
+def time_of_parts(iso: str, epoch: str) -> str:
+    """SQL for epoch microseconds: epoch seconds, epoch milliseconds above 1e12, or ISO-8601 with naive times as UTC."""
+    whole = [f"CAST(coalesce(nullif({iso}[{i}], ''), '0') AS INT)" for i in range(10)]
+    local = f"try_make_timestamp_ntz({whole[0]}, {whole[1]}, {whole[2]}, {whole[3]}, {whole[4]}, {whole[5]})"
+    micro = f"CAST(rpad(substring({iso}[6], 1, 6), 6, '0') AS BIGINT)"
+    offset = f"({whole[8]} * 60L + {whole[9]}) * CASE WHEN {iso}[7] = '-' THEN -1 ELSE 1 END"
+    return (f"CASE WHEN {epoch} BETWEEN -62135596800 AND 253402300799 THEN CAST(bround({epoch} * 1000000) AS BIGINT) "
+            f"WHEN {iso} IS NOT NULL AND {whole[5]} < 60 AND {whole[8]} < 24 THEN "
+            f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {local}) + {micro} - {offset} * {MINUTE}L END")
 
 
 def event_type(name: Column) -> Column:
@@ -232,14 +253,14 @@ def event_type(name: Column) -> Column:
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    rows = lines.withColumn("v", F.expr("try_parse_json(raw)"))
-    rows = rows.withColumn("v", F.expr("CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN v END"))
-    rows = rows.selectExpr(
-        "file", "line_no", "raw", f"{first_present(TIME_KEYS)} AS time", f"{first_present(EVENT_KEYS)} AS event",
-        f"{first_present(IP_KEYS)} AS ip", f"{first_present(USER_KEYS)} AS who", f"{first_truthy(('host', 'hostname'))} AS place",
-        f"{_get('method')} AS method", f"{first_truthy(('path', 'url'))} AS path", f"{_get('status')} AS status",
-        f"{first_truthy(('bytes', 'size', 'response_size'))} AS size", f"{first_truthy(('user_agent', 'ua'))} AS ua")
-    rows = rows.withColumn("us", F.expr(flexible_time("time"))).withColumn("kind", event_type(F.expr(_text_of("event"))))
+    rows = staged(lines, LINE, j="try_parse_json(raw)")
+    rows = staged(rows, LINE, v="CASE WHEN schema_of_variant(j) LIKE 'OBJECT%' THEN j END")
+    values = dict(time=first_present(TIME_KEYS), event=first_present(EVENT_KEYS), ip=first_present(IP_KEYS), who=first_present(USER_KEYS),
+                  place=first_truthy(("host", "hostname")), method=_get("method"), path=first_truthy(("path", "url")), status=_get("status"),
+                  size=first_truthy(("bytes", "size", "response_size")), ua=first_truthy(("user_agent", "ua")))
+    rows = staged(rows, LINE, **values)
+    rows = staged(rows, [*LINE, *values], name=_text_of("event"), **time_parts("time"))
+    rows = staged(rows, [*LINE, *values], us=time_of_parts("iso", "epoch"), kind=event_type(F.col("name")))
     good = F.col("us").isNotNull() & F.col("kind").isNotNull()
 
     def text(name: str) -> Column:

@@ -65,7 +65,7 @@ def judge_uploads(uploads: DataFrame) -> DataFrame:
     """Adds ``is_binary`` and ``text``: known signatures or more than 10 % control bytes in the head."""
     head = F.substring("content", 1, HEAD_BYTES)
     # One byte is one character in Latin-1, so byte counts are character counts.
-    latin = F.decode(head, F.lit("ISO-8859-1"))
+    latin = F.decode(head, "ISO-8859-1")
     controls = F.length(F.regexp_replace(latin, r"[^\x00-\x08\x0e-\x1f]", ""))
     magic = F.hex(F.substring("content", 1, 4)).rlike("^(" + "|".join(SIGNATURES) + ")")
     binary = magic | ((F.length(head) > 0) & (controls / F.length(head) > 0.10))
