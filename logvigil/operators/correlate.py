@@ -9,7 +9,7 @@ from logvigil.functions.net import subnet
 from logvigil.functions.timing import floor_div
 from logvigil.operators.intervals import UNBOUNDED, numbered, trailing_stats
 from logvigil.operators.scoring import entity_rows, scored
-from logvigil.session import settled
+from logvigil.session import settled, settled_with
 
 # Kill-chain order.
 STAGES = ["Reconnaissance", "Credential Access", "Initial Access", "Privilege Escalation", "Persistence",
@@ -117,20 +117,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     partial minimum aggregates, so a hub never gathers its neighbours in one place. Each round is
     written out and the loop ends when a round changes nothing.
     """
-    edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                    .filter("a != b").distinct(), "links")
-    state = _fingerprint(edges)
+    oriented = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    edges, state = settled(oriented, "links"), None
     for _ in range(max_rounds):
-        edges = settled(_small_star(_large_star(edges)), "links")
-        seen, state = state, _fingerprint(edges)
+        seen = state
+        edges, state = settled_with(_small_star(_large_star(edges)), "links", *_fingerprint())
         if state == seen:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
     raise RuntimeError("components did not settle")
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _fingerprint() -> list[Column]:
+    """Equal before and after a round only if the round changed no edge."""
+    return [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -120,7 +120,8 @@ def with_running_sum(rows: DataFrame, keys: Sequence[str], chunk: str, order: Se
                      name: str) -> DataFrame:
     """Running sum per keys up to the row itself: a sum within the chunk plus the total of the chunks before."""
     keys = list(keys)
-    local = F.sum(value).over(Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(UNBOUNDED, 0))
+    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(UNBOUNDED, 0)
+    local = F.coalesce(F.sum(value).over(in_chunk), F.lit(0).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(UNBOUNDED, -1)
     totals = (rows.groupBy(*keys, chunk).agg(F.sum(value).alias("total"))
               .withColumn("carry", F.coalesce(F.sum("total").over(before), F.lit(0).cast("bigint"))).drop("total"))

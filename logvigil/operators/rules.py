@@ -21,7 +21,7 @@ from logvigil.functions.timing import cell_of, clock, floor_div, hour_of_day, wh
 from logvigil.operators.baseline import judged_logins, known_addresses, normal_hours
 from logvigil.operators.intervals import burst_cells, burst_rows, numbered, pair_in_range, trailing_stats
 from logvigil.operators.ranks import exact_median
-from logvigil.session import settled
+from logvigil.session import settled, side_by_side
 
 # Rule, name, severity, points, stage, tactic, technique.
 RULES = [
@@ -432,21 +432,38 @@ def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
 # --- U1: all rules --------------------------------------------------------------------------------
 
 
+def _written(found: Finding, rule: str) -> Finding:
+    """A finding with its alerts stored: later rules and the union read them instead of deriving them again."""
+    return Finding(settled(found.alerts, rule), found.evidence)
+
+
+def login_rules(events: DataFrame, cfg: Thresholds) -> dict[str, Finding]:
+    """R4, R5, R6 and R7, which builds on the other three."""
+    r4, r5, r6 = side_by_side(lambda: _written(r4_login_after_failures(events, cfg), "r4"),
+                              lambda: _written(r5_off_hours(events, cfg), "r5"),
+                              lambda: _written(r6_new_source(events, cfg), "r6"))
+    r7 = _written(r7_privilege_use(events, cfg, suspicious_logins(r4.alerts, r5.alerts, r6.alerts)), "r7")
+    return {"R4": r4, "R5": r5, "R6": r6, "R7": r7}
+
+
 def run_rules(events: DataFrame, cfg: Thresholds) -> dict[str, Finding]:
-    """All findings. Alerts that feed later rules are written once instead of being derived again."""
-    def written(found: Finding, rule: str) -> Finding:
-        return Finding(settled(found.alerts, rule), found.evidence)
-
-    r1 = written(r1_brute_force(events, cfg), "r1")
-    r4 = written(r4_login_after_failures(events, cfg), "r4")
-    r5, r6 = written(r5_off_hours(events, cfg), "r5"), written(r6_new_source(events, cfg), "r6")
-    r7 = written(r7_privilege_use(events, cfg, suspicious_logins(r4.alerts, r5.alerts, r6.alerts)), "r7")
-    return {
-        "R1": r1, "R2": r2_password_spraying(events, cfg), "R3": r3_low_and_slow(events, cfg, r1.alerts), "R4": r4,
-        "R5": r5, "R6": r6, "R7": r7, "R8": r8_account_change(events, cfg, r7.alerts),
-        "R9": r9_web_scanning(events, cfg), "R10": r10_attack_payload(events, cfg),
-        "R11": r11_large_transfer(events, cfg),
-    }
+    """All findings of R1 to R11. Rules that need no other rule's alerts are submitted side by side."""
+    def failures() -> dict[str, Finding]:
+        r1 = _written(r1_brute_force(events, cfg), "r1")
+        return {"R1": r1, "R3": _written(r3_low_and_slow(events, cfg, r1.alerts), "r3")}
+
+    def logins() -> dict[str, Finding]:
+        found = login_rules(events, cfg)
+        return {**found, "R8": _written(r8_account_change(events, cfg, found["R7"].alerts), "r8")}
+
+    def alone(rule: str, run: Callable[[DataFrame, Thresholds], Finding]) -> Callable[[], dict[str, Finding]]:
+        return lambda: {rule: _written(run(events, cfg), rule.lower())}
+
+    found = {}
+    for part in side_by_side(logins, failures, alone("R11", r11_large_transfer), alone("R2", r2_password_spraying),
+                             alone("R9", r9_web_scanning), alone("R10", r10_attack_payload)):
+        found.update(part)
+    return found
 
 
 def with_rule_facts(alerts: DataFrame) -> DataFrame:

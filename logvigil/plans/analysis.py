@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,7 +15,7 @@ from logvigil.operators.story import recommendations, story_steps, with_summary
 from logvigil.session import settled
 
 
-@dataclass(frozen=True)
+@dataclass
 class Analysis:
     """Alerts carry ``incident_id``; lists of unbounded length are long tables of their own."""
 
@@ -25,8 +26,10 @@ class Analysis:
     incident_entities: DataFrame
     entities: DataFrame
 
+    @cached_property
     def evidence(self) -> DataFrame:
-        return union_evidence(self.findings)
+        """Long evidence table of all alerts, written on first use."""
+        return settled(union_evidence(self.findings), "evidence")
 
     def story(self) -> DataFrame:
         return story_steps(self.alerts)
@@ -38,7 +41,11 @@ class Analysis:
 
 
 def analyse(events: DataFrame, cfg: Thresholds) -> Analysis:
-    """Runs rules, scoring and correlation. Alerts and incidents are written once on the way."""
+    """Runs rules, scoring and correlation. Alerts and incidents are written once on the way.
+
+    Events are stored by type first, so that a rule opens only the files of the types it looks at.
+    """
+    events = settled(events, "events", "type")
     findings = run_rules(events, cfg)
     numbered = settled(number_alerts(settled(union_alerts(findings), "alerts")), "numbered")
     placed = settled(assign_components(numbered, events, cfg), "components")

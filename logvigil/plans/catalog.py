@@ -130,13 +130,13 @@ def s14(spark, sf):
 
 def s15(spark, sf):
     found = analysis_of(spark, sf)
-    sample = settled(reports.evidence_sample(found.alerts, found.evidence()), "sample")
+    sample = settled(reports.evidence_sample(found.alerts, found.evidence), "sample")
     return reports.report_lines(found.cards(), found.story(), found.alerts, sample, found.events, "run-1")
 
 
 def s15_sample(spark, sf):
     found = analysis_of(spark, sf)
-    return reports.evidence_sample(found.alerts, found.evidence()).select("alert_id", "event_id", "place", "total")
+    return reports.evidence_sample(found.alerts, found.evidence).select("alert_id", "event_id", "place", "total")
 
 
 def truth(spark, sf):
@@ -307,22 +307,15 @@ def b1(spark, sf):
         "user", "login_count", F.array_join(F.transform("hours", lambda h: h.cast("string")), ",").alias("hours"), _lines("ips").alias("ips"))
 
 
-def _login_rules(spark, sf):
-    events = sec_events(spark, sf)
-    r4, r5, r6 = (f(events, SCALED) for f in (rules.r4_login_after_failures, rules.r5_off_hours, rules.r6_new_source))
-    return events, rules.r7_privilege_use(events, SCALED, rules.suspicious_logins(r4.alerts, r5.alerts, r6.alerts))
-
-
 def rule(number: int) -> Query:
     def run(spark, sf):
         events = sec_events(spark, sf)
         if number == 3:
             found = rules.r3_low_and_slow(events, SCALED, rules.r1_brute_force(events, SCALED).alerts)
         elif number == 7:
-            found = _login_rules(spark, sf)[1]
+            found = rules.login_rules(events, SCALED)["R7"]
         elif number == 8:
-            events, r7 = _login_rules(spark, sf)
-            found = rules.r8_account_change(events, SCALED, r7.alerts)
+            found = rules.r8_account_change(events, SCALED, rules.login_rules(events, SCALED)["R7"].alerts)
         else:
             found = {1: rules.r1_brute_force, 2: rules.r2_password_spraying, 4: rules.r4_login_after_failures, 5: rules.r5_off_hours,
                      6: rules.r6_new_source, 9: rules.r9_web_scanning, 10: rules.r10_attack_payload,
@@ -337,7 +330,7 @@ def u1(spark, sf):
 
 def alert_evidence(spark, sf):
     found = analysis_of(spark, sf)
-    return found.evidence().join(found.alerts.select("alert_key", "alert_id"), "alert_key").select("alert_id", "event_id")
+    return found.evidence.join(found.alerts.select("alert_key", "alert_id"), "alert_key").select("alert_id", "event_id")
 
 
 # --- Scores, incidents, story ---------------------------------------------------------------------
@@ -374,7 +367,7 @@ def c2(spark, sf):
 
 
 def c3(spark, sf):
-    alerts = analysis_of(spark, sf).alerts
+    alerts = analysis_of(spark, sf).alerts.select("incident_id", "alert_no")
     first = alerts.groupBy("incident_id").agg(F.min("alert_no").alias("component"))
     return alerts.join(first, "incident_id").select("alert_no", "component")
 
@@ -457,7 +450,7 @@ def q5(spark, sf):
 def q6(spark, sf):
     found = analysis_of(spark, sf)
     alerts = found.alerts.join(found.incidents.select("incident_id", "risk_score"), "incident_id")
-    refs = reports.incident_evidence(alerts, found.evidence())
+    refs = reports.incident_evidence(alerts, found.evidence)
     return (refs.join(alerts.select("alert_key", "rule_id", "risk_score"), "alert_key")
             .join(found.events.select(F.col("id").alias("event_id"), "raw", "type"), "event_id")
             .select("incident_id", "risk_score", "alert_id", "rule_id", "event_id", utc("us").alias("ts"), "type", "raw"))
@@ -465,7 +458,7 @@ def q6(spark, sf):
 
 def q7(spark, sf):
     found = analysis_of(spark, sf)
-    return reports.evidence_lines(found.alerts, found.evidence(), found.events).select(
+    return reports.evidence_lines(found.alerts, found.evidence, found.events).select(
         "incident_id", "event_id", "alert_no", utc("us").alias("ts"), "line_no", "raw")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "logvigil", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,11 +43,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a frame that several later steps read to the shared folder and reads it back.
 
     The table survives executor loss, is computed once and is pruned by column on every later read.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/logvigil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def settled_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Like ``settled``, with aggregates over the written rows that cost no pass of their own."""
+    observed = Observation(name)
+    table = settled(df.observe(observed, *metrics), name)
+    return table, observed.get
+
+
+def side_by_side(*jobs: Callable):
+    """Results of independent Spark jobs submitted together, so that short stages overlap."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [future.result() for future in [pool.submit(job) for job in jobs]]

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logvigil.config import MINUTE, Thresholds
 from logvigil.functions.net import clean_ip
 from logvigil.functions.timing import EPOCH_NTZ
 from logvigil.operators.intervals import with_previous, with_running_sum
+from logvigil.session import settled
+from logvigil.sources.text import cut_lines, number_lines, scan_lines
 
 # The line patterns, in the notation of Spark's regex engine.
 AUTH_LINE = (r"(?U)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\S+)\s+([^\s:\[]+)(?:\[\d+\])?:\s?"
@@ -85,9 +87,12 @@ def _line(parsed: Column, us: Column, kind: Column, ip: Column, user: Column, ho
 # --- Format detection (S4) ------------------------------------------------------------------------
 
 
-def detect_formats(lines: DataFrame) -> DataFrame:
-    """``file, format`` by vote over the first 50 non-blank lines; null where nothing matched."""
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+def detect_formats(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
+    """``file, format`` by vote over the first 50 non-blank lines; null where nothing matched.
+
+    Any columns in line order do, so files need not be numbered first.
+    """
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(*order))
     head = lines.withColumn("rank", rank).filter(F.col("rank") <= VOTING_LINES)
     is_object = F.expr("schema_of_variant(try_parse_json(raw)) LIKE 'OBJECT%'")
     vote = (F.when(F.col("raw").rlike(AUTH_LINE), "auth").when(F.col("raw").rlike(ACCESS_LINE), "access")
@@ -120,8 +125,8 @@ def parse_auth(lines: DataFrame, cfg: Thresholds) -> DataFrame:
     numbers = fields.select(*LINE, "f", F.expr(_month("f[0]")).alias("month"), *[
         F.expr(f"try_cast(f[{i}] AS INT)").alias(n) for i, n in ((1, "day"), (2, "hh"), (3, "mm"), (4, "ss"))])
     # Day numbers of a common year; 29 February stands in for 1 March until the year is known.
-    good = "month > 0 AND day BETWEEN 1 AND array(31,29,31,30,31,30,31,31,30,31,30,31)[month - 1] AND hh < 24 AND mm < 60 AND ss < 60"
-    days = "array(0,31,59,90,120,151,181,212,243,273,304,334)[month - 1] + day - 1"
+    good = "month > 0 AND day BETWEEN 1 AND get(array(31,29,31,30,31,30,31,31,30,31,30,31), month - 1) AND hh < 24 AND mm < 60 AND ss < 60"
+    days = "get(array(0,31,59,90,120,151,181,212,243,273,304,334), month - 1) + day - 1"
     placed = numbers.withColumn("year_us", F.expr(
         f"CASE WHEN {good} THEN (({days}) * 86400L + hh * 3600 + mm * 60 + ss) * 1000000L END"))
     dated = with_year(placed, cfg).withColumn("us", F.expr(f"""
@@ -267,7 +272,7 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
         return F.nullif(F.expr(f"CASE WHEN {_truthy(name)} THEN {_text_of(name)} END"), F.lit(""))
 
     http = F.struct(text("method").alias("method"), text("path").alias("path"),
-                    F.expr(lenient_int("status")).cast("int").alias("status"), F.expr(lenient_int("size")).alias("bytes"),
+                    F.expr(f"try_cast({lenient_int('status')} AS INT)").alias("status"), F.expr(lenient_int("size")).alias("bytes"),
                     text("ua").alias("ua"))
     return rows.select(*_line(
         good, F.when(good, F.col("us")), F.when(good, F.col("kind")), F.when(good, clean_ip(F.expr(_text_of("ip")))),
@@ -279,8 +284,11 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFrame:
-    """Parses each file by its format. Lines of files without one are kept as not parsed."""
-    known = lines.join(formats, "file", "left")
+    """Parses each file by its format. Lines of files without one are kept as not parsed.
+
+    The lines are stored by format once, so each parser reads its own lines and nothing else.
+    """
+    known = settled(lines.join(formats, "file", "left"), "lines", "format")
     each = [parser(known.filter(F.col("format") == f).drop("format")) for f, parser in (
         ("auth", lambda d: parse_auth(d, cfg)), ("access", parse_access), ("jsonl", parse_jsonl))]
     none = F.lit(None).cast("string")
@@ -289,6 +297,13 @@ def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFr
     return reduce(DataFrame.unionByName, [*each, rest])
 
 
+def ingest(spark: SparkSession, paths: list[str], cfg: Thresholds) -> DataFrame:
+    """Parsed lines of text files: one scan for the votes, one for numbering and storing, then the parsers."""
+    scanned = scan_lines(spark, paths)
+    votes = detect_formats(cut_lines(scanned).filter("raw != ''"), ("block", "pos", "part"))
+    return parse_lines(number_lines(scanned), votes, cfg)
+
+
 def events_of(parsed: DataFrame) -> DataFrame:
     return parsed.filter("type IS NOT NULL").drop("parsed")
 

@@ -18,7 +18,7 @@ def save(analysis: Analysis, root: str, analysis_id: str, source: str, created_u
     """Writes all tables of a run, its row in the run log last."""
     if source not in ("upload", "simulation"):
         raise ValueError(f"unknown source {source!r}")
-    tables = {"events": analysis.events, "alerts": analysis.alerts, "evidence": analysis.evidence(),
+    tables = {"events": analysis.events, "alerts": analysis.alerts, "evidence": analysis.evidence,
               "incidents": analysis.cards(), "incident_entities": analysis.incident_entities, "entities": analysis.entities,
               "story": analysis.story()}
     for name, df in tables.items():

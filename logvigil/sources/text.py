@@ -22,21 +22,26 @@ def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("pos"), "value")
 
 
+def cut_lines(scanned: DataFrame) -> DataFrame:
+    """``file, block, pos, part, raw``: remaining line breaks cut, damage removed, white space stripped."""
+    clean = F.make_valid_utf8(F.translate("text", "\x00", ""))
+    return (scanned.select("file", "block", "pos", F.posexplode(F.split("value", OTHER_BREAKS)).alias("part", "text"))
+            .select("file", "block", "pos", "part", F.btrim(clean, F.lit(SPACES)).alias("raw")))
+
+
 def number_lines(scanned: DataFrame) -> DataFrame:
     """``file, line_no, raw``: 1-based numbers that count blank lines, then blank lines dropped.
 
     Lines are numbered inside their file block, which the split size bounds, and shifted by the line
     counts of the blocks before; only one row per block is ordered within a file.
     """
-    parts = scanned.select("file", "block", "pos", F.posexplode(F.split("value", OTHER_BREAKS)).alias("part", "text"))
+    parts = cut_lines(scanned)
     local = F.row_number().over(Window.partitionBy("file", "block").orderBy("pos", "part"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(UNBOUNDED, -1)
     offsets = (parts.groupBy("file", "block").agg(F.count("*").alias("n"))
                .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))).drop("n"))
-    clean = F.make_valid_utf8(F.translate("text", "\x00", ""))
     return (parts.withColumn("local", local).join(offsets, ["file", "block"])
-            .select("file", (F.col("local") + F.col("offset")).alias("line_no"), F.btrim(clean, F.lit(SPACES)).alias("raw"))
-            .filter("raw != ''"))
+            .select("file", (F.col("local") + F.col("offset")).alias("line_no"), "raw").filter("raw != ''"))
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -68,7 +73,7 @@ def judge_uploads(uploads: DataFrame) -> DataFrame:
     latin = F.decode(head, "ISO-8859-1")
     controls = F.length(F.regexp_replace(latin, r"[^\x00-\x08\x0e-\x1f]", ""))
     magic = F.hex(F.substring("content", 1, 4)).rlike("^(" + "|".join(SIGNATURES) + ")")
-    binary = magic | ((F.length(head) > 0) & (controls / F.length(head) > 0.10))
+    binary = magic | (controls * 10 > F.length(head))
     text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\x00", "")
     return uploads.withColumn("is_binary", binary).withColumn("text", F.when(~binary, text)).drop("content")
 
