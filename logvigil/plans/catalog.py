@@ -196,7 +196,7 @@ def f4(spark, sf):
 
 
 def json_values(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", F.expr("""try_parse_json(CASE event_id % 8
+    return table(spark, sf, "events").select("event_id", "user_id", F.expr("""CASE event_id % 8
         WHEN 0 THEN '{"ip": "a", "src_ip": null, "size": 12.7, "ts": 1700000000}'
         WHEN 1 THEN '{"client_ip": "b", "bytes": 0, "response_size": "' || event_id || '", "ts": 1700000000123}'
         WHEN 2 THEN '{"bytes": "-", "size": 5, "path": "", "url": "/x", "ts": "2026-10-04T14:02:10+05:30"}'
@@ -204,7 +204,8 @@ def json_values(spark, sf):
         WHEN 4 THEN '{"size": true, "ua": "z", "ts": "2026-10-04"}'
         WHEN 5 THEN '{"bytes": "12.7", "ts": "yesterday"}'
         WHEN 6 THEN '{"response_size": ' || event_id || ', "user_agent": "", "ua": "w", "ts": "2026-02-30T00:00:00Z"}'
-        ELSE '{"remote_addr": "' || user_id || '", "ts": null}' END)""").alias("v"))
+        ELSE '{"remote_addr": "' || user_id || '", "ts": null}' END""").alias("raw")).withColumn(
+            "m", F.expr(formats.MEMBERS.format("raw")))
 
 
 def f5(spark, sf):
@@ -221,7 +222,7 @@ def f6(spark, sf):
 
 
 def f7(spark, sf):
-    rows = formats.staged(json_values(spark, sf), ["event_id"], t=formats._get("ts"))
+    rows = formats.staged(json_values(spark, sf), ["event_id"], t=formats.member("ts"))
     rows = formats.staged(rows, ["event_id"], **formats.time_parts("t"))
     return rows.selectExpr("event_id", f"{formats.time_of_parts('iso', 'epoch')} AS us").select("event_id", utc("us").alias("ts"))
 

@@ -94,9 +94,9 @@ def detect_formats(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> D
     """
     rank = F.row_number().over(Window.partitionBy("file").orderBy(*order))
     head = lines.withColumn("rank", rank).filter(F.col("rank") <= VOTING_LINES)
-    is_object = F.expr("schema_of_variant(try_parse_json(raw)) LIKE 'OBJECT%'")
+    is_object = F.expr(MEMBERS.format("raw")).isNotNull()
     vote = (F.when(F.col("raw").rlike(AUTH_LINE), "auth").when(F.col("raw").rlike(ACCESS_LINE), "access")
-            .when(F.coalesce(is_object, F.lit(False)), "jsonl"))
+            .when(is_object, "jsonl"))
     counts = head.withColumn("vote", vote).groupBy("file").agg(
         *[F.count(F.when(F.col("vote") == f, 1)).alias(f) for f in ("auth", "access", "jsonl")])
     return counts.selectExpr("file", """CASE WHEN auth + access + jsonl = 0 THEN NULL
@@ -181,13 +181,18 @@ def parse_access(lines: DataFrame) -> DataFrame:
 # --- JSON lines (S7, S11, F5-F7) ------------------------------------------------------------------
 
 
-def _get(key: str) -> str:
-    return f"try_variant_get(v, '$[\"{key}\"]', 'variant')"
+# A JSON object as SQL map of its members; a member that is null stays distinct from an absent one.
+MEMBERS = "try_variant_get(try_parse_json({0}), '$', 'map<string,variant>')"
+EMPTY = r'^(""|false|null|\\[\\]|\\{\\}|-?0(\\.0*)?([eE].*)?)$'
+
+
+def member(key: str) -> str:
+    return f"try_element_at(m, '{key}')"
 
 
 def first_present(keys: tuple[str, ...]) -> str:
     """First key that exists, even where its value is null."""
-    return "coalesce(" + ", ".join(_get(k) for k in keys) + ")"
+    return "coalesce(" + ", ".join(member(k) for k in keys) + ")"
 
 
 def _type(value: str) -> str:
@@ -195,18 +200,13 @@ def _type(value: str) -> str:
 
 
 def _truthy(value: str) -> str:
-    return (f"CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN false "
-            f"WHEN {_type(value)} = 'STRING' THEN try_variant_get({value}, '$', 'string') != '' "
-            f"WHEN {_type(value)} = 'BOOLEAN' THEN try_variant_get({value}, '$', 'boolean') "
-            f"WHEN {_type(value)} RLIKE '^(ARRAY<VOID>|OBJECT<>)$' THEN false "
-            f"WHEN {_type(value)} RLIKE '^(ARRAY|OBJECT)' THEN true "
-            f"ELSE coalesce(try_variant_get({value}, '$', 'double') != 0, true) END")
+    return f"coalesce(NOT to_json({value}) RLIKE '{EMPTY}', false)"
 
 
 def first_truthy(keys: tuple[str, ...]) -> str:
     """First non-empty, non-zero value; failing that the last key's value."""
-    whens = " ".join(f"WHEN {_truthy(_get(k))} THEN {_get(k)}" for k in keys[:-1])
-    return f"CASE {whens} ELSE {_get(keys[-1])} END" if whens else _get(keys[-1])
+    whens = " ".join(f"WHEN {_truthy(member(k))} THEN {member(k)}" for k in keys[:-1])
+    return f"CASE {whens} ELSE {member(keys[-1])} END"
 
 
 def _text_of(value: str) -> str:
@@ -258,10 +258,9 @@ def event_type(name: Column) -> Column:
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    rows = staged(lines, LINE, j="try_parse_json(raw)")
-    rows = staged(rows, LINE, v="CASE WHEN schema_of_variant(j) LIKE 'OBJECT%' THEN j END")
+    rows = staged(lines, LINE, m=MEMBERS.format("raw"))
     values = dict(time=first_present(TIME_KEYS), event=first_present(EVENT_KEYS), ip=first_present(IP_KEYS), who=first_present(USER_KEYS),
-                  place=first_truthy(("host", "hostname")), method=_get("method"), path=first_truthy(("path", "url")), status=_get("status"),
+                  place=first_truthy(("host", "hostname")), method=member("method"), path=first_truthy(("path", "url")), status=member("status"),
                   size=first_truthy(("bytes", "size", "response_size")), ua=first_truthy(("user_agent", "ua")))
     rows = staged(rows, LINE, **values)
     rows = staged(rows, [*LINE, *values], name=_text_of("event"), **time_parts("time"))
