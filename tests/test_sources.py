@@ -121,10 +121,10 @@ def test_ingest_mixed_files(spark, tmp_path):
 
 
 def test_uploads(spark):
-    rows = [("png", bytearray(b"\x89PNG....")), ("ctl", bytearray(b"\x01" * 20 + b"a" * 100)), ("ok", bytearray(b"a\x00b\xffc\n")), ("empty", bytearray())]
+    rows = [("png", bytearray(b"\x89PNG....")), ("ctl", bytearray(b"\x01" * 20 + b"a" * 100)), ("ok", bytearray(b"a\x00b\xffc and more text\n")), ("empty", bytearray())]
     got = {r.file: r for r in text.judge_uploads(spark.createDataFrame(rows, "file string, content binary")).collect()}
     assert got["png"].is_binary and got["ctl"].is_binary and not got["ok"].is_binary and not got["empty"].is_binary
-    assert got["ok"].text == "ab�c\n" and got["png"].text is None
+    assert got["ok"].text == "ab�c and more text\n" and got["png"].text is None
     assert [(r.line_no, r.raw) for r in text.lines_of_uploads(spark.createDataFrame([("f", "x\r\n\n y \x0bz")], "file string, text string")).orderBy("line_no").collect()] == [
         (1, "x"), (3, "y"), (4, "z")]
 
