@@ -149,7 +149,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def assign_components(alerts: DataFrame, events: DataFrame, cfg: Thresholds) -> DataFrame:
     """Alerts with ``component``. An alert without any entity is its own component."""
     window = cfg.correlation_window
-    members = memberships(alerts)
+    members = settled(memberships(alerts), "members")
     cells = settled(cluster_cells(members, window), "cells")
     clustered = settled(cluster_members(members, cells, window), "clusters")
     links = cluster_links(clustered, pivot_links(members, cells, first_logins(events, members), window))

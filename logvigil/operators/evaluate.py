@@ -11,8 +11,9 @@ LABELS = ("malicious_ips array<string>, malicious_users array<string>, "
 LEVELS = ["critical", "high", "medium", "low"]
 
 
-def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LABELS).json(path, multiLine=True)
+def load_labels(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Ground truth from one JSON document, or from one JSON object per line where it is large."""
+    return spark.read.schema(LABELS).json(path, multiLine=one_document)
 
 
 def malicious_values(labels: DataFrame) -> DataFrame:

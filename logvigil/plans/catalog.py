@@ -140,20 +140,19 @@ def s15_sample(spark, sf):
 
 
 def truth(spark, sf):
-    """Ground truth in its JSON shape: every tenth user is malicious, five scenarios."""
+    """Ground truth, one object per user: every tenth user is malicious, in five scenarios."""
     users = table(spark, sf, "events").select("user_id").distinct().filter("user_id % 10 = 0").selectExpr(
-        "'user' || user_id AS user", "'10.' || (user_id div 4 div 65536 % 256) || '.' || (user_id div 16 % 256) || '.' || (user_id div 4 % 4 + 1) AS ip",
+        "array('user' || user_id) AS users",
+        "array('10.' || (user_id div 4 div 65536 % 256) || '.' || (user_id div 16 % 256) || '.' || (user_id div 4 % 4 + 1)) AS ips",
         "'S' || (user_id div 10 % 5 + 1) AS sid")
-    per = users.groupBy("sid").agg(F.array_sort(F.collect_set("ip")).alias("ips"), F.array_sort(F.collect_set("user")).alias("users"))
-    return per.agg(F.flatten(F.collect_list("ips")).alias("malicious_ips"), F.flatten(F.collect_list("users")).alias("malicious_users"),
-                   F.map_from_entries(F.collect_list(F.struct("sid", F.struct(
-                       "ips", "users", F.array(F.lit("Initial Access")).alias("stages"))))).alias("scenarios"))
+    return users.selectExpr("ips AS malicious_ips", "users AS malicious_users",
+                            "map(sid, named_struct('ips', ips, 'users', users, 'stages', array('Initial Access'))) AS scenarios")
 
 
 def labels_of(spark, sf):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/labels-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    truth(spark, sf).coalesce(1).write.mode("overwrite").json(path)
-    return evaluate.load_labels(spark, path)
+    truth(spark, sf).write.mode("overwrite").json(path)
+    return evaluate.load_labels(spark, path, one_document=False)
 
 
 def s16(spark, sf):
