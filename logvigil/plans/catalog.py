@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logvigil.config import DEFAULT, HOUR
+from logvigil.config import DEFAULT
 from logvigil.functions import net, text
-from logvigil.functions.timing import clock, hour_of_day, iso, micros, utc, whole_minutes
+from logvigil.functions.timing import clock, iso, micros, utc, whole_minutes
 from logvigil.operators import baseline, correlate, evaluate, reports, rules, scoring, story
 from logvigil.operators.intervals import burst_rows
 from logvigil.plans.adapter import SCALED, sec_events, table

@@ -6,14 +6,17 @@ only fit for small tables.
 
 from __future__ import annotations
 
-from logvigil.config import DEFAULT, HOUR
+import re
+
+from logvigil.config import HOUR
 from logvigil.operators.correlate import STAGES
 from logvigil.operators.rules import RULES
 from logvigil.operators.story import DEFAULT_TITLE, SHARPER, TITLES
 from logvigil.plans.adapter import ATTACKS, BROWSERS, PAGES, SCALED as C, SCANNERS
+from logvigil.plans.catalog import EVENT_CODES
 from logvigil.plans.samples import START_2026, STEP
 from logvigil.sources.formats import EVENT_NAMES
-from logvigil.sources.text import OTHER_BREAKS, SPACES
+from logvigil.sources.text import SPACES
 
 
 def _list(values) -> str:
@@ -249,7 +252,6 @@ _cte("parsed", """SELECT file, line_no, parsed, us, CASE WHEN parsed THEN typ EN
     UNION ALL SELECT 'notes.txt', doc_id + 1, false, NULL, NULL FROM documents""")
 _cte("runs", "SELECT 'run-' || CAST(ts AS DATE) AS analysis_id, max(ts) AS created_at, count(*) AS events FROM events GROUP BY 1")
 
-SIMPLE = {"sec", "fails", "logins", "both_ways"}
 PLAIN = {"reach", "picked"}
 
 
@@ -265,7 +267,6 @@ def sql(select: str) -> str:
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
     return re.search(rf"(FROM|JOIN|,)\s+\(?{name}\b", text) is not None
 
 
@@ -334,9 +335,6 @@ STORY = f"""SELECT incident_id, step_no, make_timestamp(moment) AS ts, stage, CA
     FROM steps GROUP BY incident_id, step_no, rule_id))"""
 
 _CODES = "CASE trim(lower(code)) " + " ".join(f"WHEN '{a}' THEN '{t}'" for t, aliases in EVENT_NAMES.items() for a in aliases) + " END"
-_CODE_LIST = ["ssh_fail", "SSH_Failure", " failed ", "ssh_success", "Accepted", "ssh_accepted", "invalid_user", "invalid",
-              "sudo", "sudo_command", "user_add", "useradd", "new_user", "group_add", "groupadd", "new_group", "http_request",
-              "http", "request", "GET", "post", "put", "delete", "reboot", ""]
 _ADDR = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN CASE WHEN user_id % 300 < 256 THEN '10.0.0.' || (user_id % 300) END WHEN 1 THEN '192.168.1.' || (user_id % 256)
     WHEN 3 THEN '2001:db8::' || CASE WHEN user_id % 4096 = 0 THEN '' ELSE lower(to_hex(user_id % 4096)) END WHEN 4 THEN 'fe80::1:' || (user_id % 10)
     WHEN 6 THEN '::ffff:10.0.0.' || (user_id % 256) END AS ip FROM events"""
@@ -370,7 +368,7 @@ ORACLES: dict[str, str] = {
     "S10_binary_quarantine": """SELECT doc_id, doc_id % 10 IN (0, 1) AS is_binary, CASE WHEN doc_id % 10 = 2 THEN length(text) + 2 WHEN doc_id % 10 > 2 THEN length(text) END AS kept_chars
         FROM documents""",
     "S11_event_codes": f"""SELECT event_id, {_CODES} AS type, CASE WHEN {_CODES} = 'http_request' THEN 'web' WHEN {_CODES} IS NOT NULL THEN 'auth' END AS source
-        FROM (SELECT event_id, ({_list(_CODE_LIST)})[event_id % {len(_CODE_LIST)} + 1] AS code FROM events)""",
+        FROM (SELECT event_id, ({_list(EVENT_CODES)})[event_id % {len(EVENT_CODES)} + 1] AS code FROM events)""",
     "S12_persist_run": sql("""SELECT 'events' AS table_name, count(*) AS rows_stored FROM sec UNION ALL SELECT 'alerts', count(*) FROM alerts
         UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'incidents', count(*) FROM incs
         UNION ALL SELECT 'incident_entities', count(*) FROM inc_ents UNION ALL SELECT 'entities', count(*) FROM ents

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import lines, micros, ssh_failures
 from datetime import datetime
@@ -120,7 +119,9 @@ def test_ingest_mixed_files(spark, tmp_path):
         formats.require_parsed(parsed.filter("file LIKE '%odd.txt'"))
 
 
-def test_uploads(spark):
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"GIF89a")
+    assert text.judge_uploads(text.read_uploads(spark, [str(tmp_path / "a.bin")])).first().is_binary
     rows = [("png", bytearray(b"\x89PNG....")), ("ctl", bytearray(b"\x01" * 20 + b"a" * 100)), ("ok", bytearray(b"a\x00b\xffc and more text\n")), ("empty", bytearray())]
     got = {r.file: r for r in text.judge_uploads(spark.createDataFrame(rows, "file string, content binary")).collect()}
     assert got["png"].is_binary and got["ctl"].is_binary and not got["ok"].is_binary and not got["empty"].is_binary
