@@ -96,7 +96,7 @@ def mix(documents: DataFrame, seed: int = 20_240_918) -> DataFrame:
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     named = goal.withColumns({"_rate": rate, "_whole": F.floor(rate).cast("long")}).withColumnRenamed("source", "_source")
     kept = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    joined = sized.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).withColumns(
+    joined = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumns(
         {"whole": F.col("_whole"), "p": F.col("_rate") - F.col("_whole"), "u": F.xxhash64("doc_id", "size", F.lit(seed))})
     still = (joined["size"] > 0) & (joined["p"] > 0)
     done = [joined.filter(~still).select(*kept, F.lit(0.0).alias("p"))]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import fingerprints, mixing, sharding
+from logvigil.llm import fingerprints, mixing, pii, sharding
 from logvigil.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -25,5 +29,6 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3,
     "op4_scaled_fingerprints": op4,
+    "op5_checked_pii": op5,
     "op7_pivotal_mixing": op7,
 }
