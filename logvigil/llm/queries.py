@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import fingerprints, mixing, pii, sharding
+from logvigil.llm import fingerprints, mixing, packing, pii, sharding
 from logvigil.llm.common import read
 
 
@@ -26,9 +26,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer that is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3,
     "op4_scaled_fingerprints": op4,
     "op5_checked_pii": op5,
     "op7_pivotal_mixing": op7,
+    "op8_bin_completion_packing": op8,
 }
