@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import fingerprints, mixing, packing, pii, sharding
+from logvigil.llm import fingerprints, mixing, oddsketch, packing, pii, sharding
 from logvigil.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3,
     "op4_scaled_fingerprints": op4,
     "op5_checked_pii": op5,
+    "op6_odd_sketch_neardup": op6,
     "op7_pivotal_mixing": op7,
     "op8_bin_completion_packing": op8,
 }
