@@ -80,13 +80,17 @@ def odd_sketch(samples: np.ndarray) -> list[int]:
 
 
 def most_differing(threshold: float) -> int:
-    """XOR population count that pairs at the threshold exceed with a chance below one in a billion.
+    """XOR population count that pairs at the threshold exceed with a chance below one in a million.
 
-    Pairs of similarity s differ in about k (1 - s) of k samples, each a toggle in both bitmaps' XOR: at most two bits.
-    The bound takes six standard deviations of the number of differing samples and ignores that toggles may cancel.
+    Pairs of similarity s differ in about k (1 - s) of k samples, each a toggle in both bitmaps. The bound is five standard
+    deviations, of the number of differing samples and of where their toggles fall, above the expected count.
     """
     k = BANDS * ROWS
-    return int(np.ceil(2 * (k * (1 - threshold) + 6 * np.sqrt(k * threshold * (1 - threshold)))))
+    toggles = 2 * k * (1 - threshold)
+    mean = BITS / 2 * (1 - np.exp(-2 * toggles / BITS))
+    by_samples = 2 * np.exp(-2 * toggles / BITS) * np.sqrt(k * threshold * (1 - threshold))
+    by_bits = np.sqrt(BITS / 4 * (1 - np.exp(-4 * toggles / BITS)))
+    return int(np.ceil(mean + 5 * np.hypot(by_samples, by_bits)))
 
 
 def _described(width: int):
@@ -128,26 +132,91 @@ def _decided(width: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """Pairs (a, b) of class representatives that pass the odd-sketch sieve and then the exact test on full sets."""
     odd = classes.select("rep", "odd")
     differing = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
     near = settled(pairs.join(odd.toDF("a", "odd_a").hint("merge"), "a").join(odd.toDF("b", "odd_b").hint("merge"), "b")
                    .filter(differing <= most_differing(percent / 100)).select("a", "b").distinct(), f"{name}-near")
-    asked = settled(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"{name}-asked")
-    texts = settled(documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(asked.hint("merge"), "doc_id"), f"{name}-texts")
     both = near.join(texts.toDF("a", "left").hint("merge"), "a").join(texts.toDF("b", "right").hint("merge"), "b")
     return settled(both.select("a", "b", "left", "right").mapInArrow(_decided(width, percent), "a long, b long").distinct(), f"{name}-links")
 
 
+def _between(width: int, percent: int):
+    """One block of a bucket: its outliers against all its rows. Only links that join what is still apart are emitted."""
+    most = most_differing(percent / 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            reps, home = table["rep"].to_numpy(), table["c"].to_numpy()
+            outlier = table["outlier"].to_numpy(zero_copy_only=False).astype(bool)
+            odd = np.array(table["odd"].to_pylist(), np.int64).view(np.uint64)
+            bands = np.array(table["bands"].to_pylist(), np.int64)
+            key, texts, sets, root, links = table["key"][0].as_py(), table["text"], {}, {}, []
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            def set_of(i):
+                if i not in sets:
+                    sets[i] = shingles(texts[int(i)].as_py(), width)
+                return sets[i]
+
+            for i in np.flatnonzero(outlier):
+                # Each pair is compared in the first bucket that both share, and two outliers from one side only.
+                shared = bands == bands[i]
+                here = shared.any(1) & (bands[i][shared.argmax(1)] == key)
+                apart = np.bitwise_count(odd ^ odd[i]).sum(1) <= most
+                for j in np.flatnonzero(here & apart & (home != home[i]) & (~outlier | (reps < reps[i]))):
+                    a, b = find(home[i]), find(home[j])
+                    if a == b:
+                        continue
+                    both = len(np.intersect1d(set_of(i), set_of(j), assume_unique=True))
+                    if 100 * both >= percent * (len(set_of(i)) + len(set_of(j)) - both):
+                        root[max(a, b)] = min(a, b)
+                        links.append((reps[i], reps[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    return run
+
+
+def across(placed: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int, name: str, block: int = 1024) -> DataFrame:
+    """Links between members of one bucket that are in different components.
+
+    The largest component of a bucket needs no comparisons inside itself; what must be compared are the other members
+    (outliers) with all. Both kinds are cut into blocks of bounded size by hash, and every block of outliers meets every
+    block of the rest and of the outliers, so no task holds more than two blocks and no pair is a row.
+    """
+    per = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    keys = settled(per.select("key", F.col("top.c").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("n_out"),
+                              F.ceil(F.col("n") / block).cast("int").alias("n_all")), f"{name}-mixed")
+    still = settled(placed.join(keys.hint("merge"), "key").withColumn("outlier", F.col("c") != F.col("main")), f"{name}-still")
+    hashed = F.xxhash64("rep")
+    facing = F.explode(F.sequence(F.lit(0), F.col("n_out") - 1))
+    # Every row stands once for each block of outliers; an outlier of another block than the facing one is just a row there.
+    rows = still.withColumns({"_out": facing, "_block": F.pmod(hashed, F.col("n_all"))})
+    of_block = F.pmod(hashed, F.col("n_out")) == F.col("_out")
+    guests = still.filter("outlier").withColumn("_out", F.pmod(hashed, F.col("n_out"))).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
+    plain = rows.filter(~(F.col("outlier") & of_block)).withColumn("outlier", F.lit(False))
+    wanted = plain.select("key", "rep", "c", "outlier", "_out", "_block").unionByName(
+        guests.select("key", "rep", "c", "outlier", "_out", "_block"))
+    full = classes.select("rep", "odd", "bands").join(texts.toDF("rep", "text").hint("merge"), "rep")
+    return settled(wanted.join(settled(full, f"{name}-full").hint("merge"), "rep").groupBy("key", "_out", "_block")
+                   .applyInArrow(_between(width, percent), "a long, b long").distinct(), f"{name}-across")
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, name: str = "odd") -> DataFrame:
     """Component of every document under links of shingle-set similarity >= percent / 100.
 
-    Documents of equal sets are one class. Of each band's bucket, a leader is compared with the members; then only pairs of
-    members that are still in different components can add anything. While those are more than a few per class, the next
-    leaders are compared; after that they are compared directly. So a bucket of near copies costs a star of pairs,
-    no link between components is lost, and no bucket is cut off. Only pairs that share none of the bands are missed:
-    at the threshold with a chance of (1 - 0.8^5)^32 = 3 in a million.
+    Documents of equal sets are one class. Of each band's bucket, a leader is compared with all members. Then only members
+    in different components can add anything: those outside a bucket's largest component are compared with all, in
+    blocks. So a bucket of near copies costs a star of pairs and a few outliers, no link between components is lost, and
+    no bucket is cut off. Only pairs that share none of the bands are missed: at the threshold with a chance of
+    (1 - 0.8^5)^32 = 3 in a million.
 
     Without words (or null text): set size 0, linked with nothing. Null doc_id: kept, component null. Rows that share
     a doc_id are one document, linked if any of its texts is. Empty table: no rows. Further columns are not read.
@@ -161,33 +230,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, nam
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     shared = settled(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1"), f"{name}-shared")
     members = settled(buckets.join(shared.hint("merge"), "key").select("key", "rep", "leader"), f"{name}-members")
+    asked = settled(members.select("rep").distinct(), f"{name}-asked")
+    texts = settled(narrow.join(asked.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text"), f"{name}-texts")
     links = confirmed(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(),
-                      documents, classes, width, percent, name)
-    open_members = members.filter("rep <> leader").select("key", "rep")
-    while True:
-        home = components(links, name)
-        # What one bucket's members still do not share: their components.
-        placed = settled(open_members.join(home.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-                         .select("key", "rep", F.coalesce("root", "rep").alias("c")), f"{name}-placed")
-        per = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.min("rep").alias("first")).groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.min("first").alias("leader"), F.count("*").alias("parts"))
-        mixed_keys, left = settled_with(per.filter("parts > 1"), f"{name}-mixed", F.sum(F.expr("(n * n - n2) div 2")).alias("pairs"))
-        if not left["pairs"]:
-            break
-        still = settled(placed.join(mixed_keys.select("key", "leader").hint("merge"), "key"), f"{name}-still")
-        direct = left["pairs"] <= 4 * seen["n"]
-        if direct:
-            one, other = still.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")), still.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            pairs = one.join(other.hint("merge"), "key").filter("a < b AND ca <> cb")
-        else:
-            lead = still.filter("rep = leader").select("key", F.col("c").alias("cl"))
-            pairs = still.join(settled(lead, f"{name}-lead").hint("merge"), "key").filter("c <> cl").select(
-                F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
-        links = settled(links.union(confirmed(pairs.select("a", "b").distinct(), documents, classes, width, percent, name)), f"{name}-links")
-        if direct:
-            home = components(links, name)
-            break
-        open_members = still.filter("rep <> leader").select("key", "rep")
+                      texts, classes, width, percent, name)
+    home = components(links, name)
+    placed = settled(members.join(home.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+                     .select("key", "rep", F.coalesce("root", "rep").alias("c")), f"{name}-placed")
+    more = across(placed, texts, classes, width, percent, name)
+    # Links between components, not documents: the known components join as stars.
+    home = components(links.unionByName(more), name)
     homes = settled(classes.select("name", "rep").join(home.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
                     .select("name", F.coalesce("root", "rep").alias("component_id")), f"{name}-homes")
     worded = described.filter("name IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "name")
