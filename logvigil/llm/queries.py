@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import fingerprints, mixing, oddsketch, packing, pii, sharding
+from logvigil.llm import fingerprints, mixing, oddsketch, packing, pii, sharding, toxicity
 from logvigil.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3,
     "op4_scaled_fingerprints": op4,
@@ -48,4 +52,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_odd_sketch_neardup": op6,
     "op7_pivotal_mixing": op7,
     "op8_bin_completion_packing": op8,
+    "op10_cnn_toxicity": op10,
 }
