@@ -2,4 +2,16 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+EMBEDDING_NEARDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+          AND a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+home AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, h.component_id, v.vec_id = h.component_id AS kept
+FROM v JOIN home h ON h.x = v.vec_id LEFT JOIN degree d ON d.x = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_int8_embedding_neardup": EMBEDDING_NEARDUP}

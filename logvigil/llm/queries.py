@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import fingerprints, mixing, oddsketch, packing, pii, sharding, toxicity
+from logvigil.llm import embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
 from logvigil.llm.common import read
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -46,6 +54,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1,
+    "op2_int8_embedding_neardup": op2,
     "op3_feistel_sharding": op3,
     "op4_scaled_fingerprints": op4,
     "op5_checked_pii": op5,
