@@ -212,8 +212,8 @@ def score(net: Network, text: bytes | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(4 * (logit(net, words) - middle) / scale, -30, 30))))
 
 
-def scored(documents: DataFrame, net: Network, *keep: str) -> DataFrame:
-    """(doc_id, score, *keep) over whole texts. Null and empty texts have the score of no words."""
+def scored(documents: DataFrame, net: Network) -> DataFrame:
+    """(doc_id, score) over whole texts. Null and empty texts have the score of no words."""
     shipped = documents.sparkSession.sparkContext.broadcast(pickle.dumps(net))   # at most VOCABULARY rows: a few MB
 
     def run(batches):
@@ -226,6 +226,21 @@ def scored(documents: DataFrame, net: Network, *keep: str) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def kept_below(documents: DataFrame, net: Network, limit: float) -> DataFrame:
+    """Whole rows whose text scores below the limit, in one pass without a shuffle."""
+    shipped = documents.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+    column = documents.columns.index("text")
+
+    def run(batches):
+        model = pickle.loads(shipped.value)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keep = [score(model, (t.as_py() or "").encode()) < limit for t in batch.column(column)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and prediction for every document; labels of held-out ids are never read, and none is an input of a score.
 
