@@ -110,22 +110,21 @@ def cluster_links(clustered: DataFrame, pivots: DataFrame) -> DataFrame:
     return shared.unionByName(pivot).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (least node name) of every node on an edge ``a, b``.
 
     Alternating star contraction: each round hangs neighbours onto the least node they can see, with
     partial minimum aggregates, so a hub never gathers its neighbours in one place. Each round is
-    written out and the loop ends when a round changes nothing.
+    written out and the loop ends when a round changes nothing, however many that takes.
     """
     oriented = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     edges, state = settled(oriented, "links"), None
-    for _ in range(max_rounds):
+    while True:
         seen = state
         edges, state = settled_with(_small_star(_large_star(edges)), "links", *_fingerprint())
         if state == seen:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-    raise RuntimeError("components did not settle")
 
 
 def _fingerprint() -> list[Column]:

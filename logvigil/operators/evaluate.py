@@ -24,10 +24,10 @@ def malicious_values(labels: DataFrame) -> DataFrame:
 
 
 def scenario_values(labels: DataFrame) -> DataFrame:
-    """Distinct ``scenario_id, value`` expected per scenario."""
+    """Distinct ``scenario_id, value`` expected per scenario; a scenario that names no entity has one row with a null value."""
     none = F.array().cast("array<string>")
     return (labels.select(F.explode("scenarios").alias("scenario_id", "s"))
-            .select("scenario_id", F.explode(F.concat(F.coalesce("s.ips", none), F.coalesce("s.users", none))).alias("value"))
+            .select("scenario_id", F.explode_outer(F.concat(F.coalesce("s.ips", none), F.coalesce("s.users", none))).alias("value"))
             .distinct())
 
 
