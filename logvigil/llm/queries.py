@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logvigil.llm import embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
+from logvigil.llm import chunks, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
 from logvigil.llm.common import read
 
 
@@ -49,6 +49,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.remove_chunks(read(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -62,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_odd_sketch_neardup": op6,
     "op7_pivotal_mixing": op7,
     "op8_bin_completion_packing": op8,
+    "op9_gear_chunk_dedup": op9,
     "op10_cnn_toxicity": op10,
 }
