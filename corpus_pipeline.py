@@ -17,12 +17,6 @@ from logvigil.session import settled
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is among the ids (each once); those without an id stay."""
-    named = docs.filter("doc_id IS NOT NULL").select(*COLUMNS).join(ids.hint("merge"), "doc_id", "left_semi")
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more are rejected; the score is computed beside the row, so nothing is shuffled."""
     net = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -33,8 +27,9 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays, once."""
     found = oddsketch.near_duplicates(docs, width=5, percent=80, name="pipeline")
     kept = settled(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-kept")
-    return _only(docs, kept).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(
-        docs.filter("doc_id IS NULL").select(*COLUMNS))
+    # The join has placed the rows by doc_id, so dropping repeats moves no text again; a union in between would undo that.
+    named = docs.filter("doc_id IS NOT NULL").select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
