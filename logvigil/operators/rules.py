@@ -352,12 +352,14 @@ def r10_attack_payload(events: DataFrame, cfg: Thresholds) -> Finding:
 
 def transfers(events: DataFrame) -> DataFrame:
     return (requests(events).filter("src_ip IS NOT NULL AND coalesce(http.bytes, 0) != 0")
-            .select("id", "us", "file", "line_no", "src_ip", F.col("http.bytes").alias("bytes")))
+            # Decimal, because two sizes near 2^63 in a log must not end the run.
+            .select("id", "us", "file", "line_no", "src_ip", F.col("http.bytes").cast("decimal(20,0)").alias("bytes")))
 
 
 def transfer_threshold(web: DataFrame, cfg: Thresholds) -> tuple[float, float]:
-    """Exact median of the per-address totals, and the byte threshold it implies."""
-    median = exact_median(web.groupBy("src_ip").agg(F.sum("bytes").alias("total")), "total") or 0.0
+    """Exact median of the per-address totals, and the byte threshold it implies. Totals beyond 64 bits count as the largest."""
+    total = F.least(F.sum("bytes"), F.lit(2**63 - 1).cast("decimal(20,0)"))
+    median = exact_median(web.groupBy("src_ip").agg(total.alias("total")), "total") or 0.0
     return median, float(min(cfg.r11_abs_bytes, max(cfg.r11_median_multiplier * median, cfg.r11_min_bytes)))
 
 
