@@ -31,6 +31,14 @@ def scenario_values(labels: DataFrame) -> DataFrame:
             .distinct())
 
 
+def scenario_stages(labels: DataFrame) -> DataFrame:
+    """``scenario_id, expected_stages``: each stage once, in the order given."""
+    stages = (labels.select(F.explode("scenarios").alias("scenario_id", "s"))
+              .select("scenario_id", F.posexplode("s.stages").alias("place", "stage"))
+              .groupBy("scenario_id", "stage").agg(F.min("place").alias("place")))
+    return stages.groupBy("scenario_id").agg(F.expr("array_sort(collect_list(struct(place, stage))).stage").alias("expected_stages"))
+
+
 def entity_quality(incidents: DataFrame, entities: DataFrame, malicious: DataFrame, cfg: Thresholds) -> DataFrame:
     """One row ``tp, fp, fn, precision, recall`` over the entities of reported incidents (V1)."""
     reported = incidents.filter(F.col("risk_score") >= cfg.evaluation_min_risk).select("incident_id")
@@ -45,8 +53,11 @@ def entity_quality(incidents: DataFrame, entities: DataFrame, malicious: DataFra
         "CASE WHEN tp + fn > 0 THEN bround(tp / (tp + fn), 3) ELSE 1.0D END AS recall")
 
 
-def scenario_matches(incidents: DataFrame, entities: DataFrame, expected: DataFrame, cfg: Thresholds) -> DataFrame:
-    """Per scenario the reported incident sharing most entities, the first in rank on ties (V2)."""
+def scenario_matches(incidents: DataFrame, entities: DataFrame, expected: DataFrame, cfg: Thresholds, stages: DataFrame) -> DataFrame:
+    """Per scenario the reported incident sharing most entities, the first in rank on ties (V2).
+
+    ``expected`` are the entities of ``scenario_values``, ``stages`` those of ``scenario_stages``.
+    """
     reported = incidents.filter(F.col("risk_score") >= cfg.evaluation_min_risk).select("incident_id", "incident_no", "stages")
     shared = (expected.join(entities.select("incident_id", "value").distinct(), "value").join(reported, "incident_id")
               .groupBy("scenario_id", "incident_id", "incident_no", "stages")
@@ -55,10 +66,10 @@ def scenario_matches(incidents: DataFrame, entities: DataFrame, expected: DataFr
         F.struct("incident_id", "found_entities", "stages"), F.struct("overlap", -F.col("incident_no"))).alias("best")))
     listed = expected.groupBy("scenario_id").agg(F.array_sort(F.collect_list("value")).alias("expected_entities"))
     none = F.array().cast("array<string>")
-    return listed.join(best, "scenario_id", "left").select(
+    return listed.join(best, "scenario_id", "left").join(stages, "scenario_id", "left").select(
         "scenario_id", F.col("best").isNotNull().alias("detected"), "expected_entities",
         F.coalesce("best.found_entities", none).alias("found_entities"), F.col("best.incident_id").alias("incident_id"),
-        F.coalesce("best.stages", none).alias("found_stages"))
+        F.coalesce("expected_stages", none).alias("expected_stages"), F.coalesce("best.stages", none).alias("found_stages"))
 
 
 def level_counts(incidents: DataFrame) -> DataFrame:
@@ -82,3 +93,17 @@ def critical_false_positives(incidents: DataFrame, entities: DataFrame, maliciou
     clean = level_counts(clean_incidents).select("critical").scalar()
     return in_run.select(clean.alias("critical_false_positives"), F.lit("baseline_only").alias("source"),
                          "critical_false_positives_in_attack_run")
+
+
+def evaluation(incidents: DataFrame, entities: DataFrame, malicious: DataFrame, scenarios: DataFrame, cfg: Thresholds,
+               clean_incidents: DataFrame | None = None) -> DataFrame:
+    """One row with the scenarios found and in all, precision and recall, false alarms, and level counts of clean data (null without)."""
+    found = scenarios.agg(F.count(F.when(F.col("detected"), 1)).alias("scenarios_detected"), F.count("*").alias("scenarios_total"))
+    quality = entity_quality(incidents, entities, malicious, cfg).select(F.struct("precision", "recall")).scalar()
+    alarms = critical_false_positives(incidents, entities, malicious, clean_incidents)
+    names = alarms.columns
+    shape = "struct<" + ",".join(f"{c}:bigint" for c in ["incidents", *LEVELS]) + ">"
+    clean = (F.lit(None).cast(shape) if clean_incidents is None else
+             level_counts(clean_incidents).select(F.struct("incidents", *LEVELS)).scalar())
+    return (found.withColumn("quality", quality).withColumn("alarms", alarms.select(F.struct(*names)).scalar()).withColumn("clean_data", clean)
+            .select("scenarios_detected", "scenarios_total", "quality.*", "alarms.*", "clean_data"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +16,7 @@ from logvigil.operators.intervals import burst_rows
 from logvigil.plans.adapter import SCALED, sec_events, table
 from logvigil.plans.analysis import Analysis, analyse
 from logvigil.plans import samples
+from logvigil.plans.run import Run, totals
 from logvigil.session import ensure_checkpoint_dir, settled
 from logvigil.sources import formats, store, text as raw_text
 
@@ -99,33 +102,43 @@ def s11(spark, sf):
         kind.isNotNull(), "auth").alias("source"))
 
 
+def store_root(spark: SparkSession) -> str:
+    """A run store of its own for each use."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/store-{uuid.uuid4().hex}"
+
+
 def s12(spark, sf):
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/store-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    found = analysis_of(spark, sf)
-    store.save(found, root, "run-1", "upload", 0, ["events"])
+    root, found = store_root(spark), analysis_of(spark, sf)
+    report = formats.accounting(found.events.withColumn("parsed", F.lit(True)), "file").withColumnRenamed("file", "name")
+    store.save(Run(report, found, totals(report, found)), root, "run-1", "upload", 0)
     names = ["events", "alerts", "evidence", "incidents", "incident_entities", "entities", "story"]
     counts = [store.child(spark, root, n, "run-1").agg(F.count("*").alias("rows_stored")).select(F.lit(n).alias("table_name"), "rows_stored")
               for n in names]
-    out = counts[0]
-    for df in counts[1:]:
-        out = out.unionByName(df)
-    return out
+    return reduce(DataFrame.unionByName, counts)
 
 
-def daily_runs(spark, sf):
-    """A run per day of the table."""
-    return table(spark, sf, "events").groupBy(F.expr("date(ts)").alias("day")).agg(
-        F.max(micros("ts")).alias("created_us")).select(F.concat(F.lit("run-"), F.col("day").cast("string")).alias("analysis_id"), "created_us")
+def daily_store(spark, sf):
+    """A store with one run per day of the table; each run's events are that day's."""
+    root = store_root(spark)
+    days = table(spark, sf, "events").select("event_id", micros("ts").alias("us"), F.expr("'run-' || date(ts)").alias("analysis_id"))
+    days.write.partitionBy("analysis_id").parquet(f"{root}/events")
+    none = F.lit(None).cast(store.RUN_STATS)
+    store.log_rows(days.groupBy("analysis_id").agg(F.max("us").alias("created_us")).select(
+        "analysis_id", "created_us", F.lit("upload").alias("source"), F.lit(1).cast("bigint").alias("files"), none.alias("stats"),
+        F.lit(False).alias("has_ground_truth"), F.lit(False).alias("deleted")), root)
+    return root
 
 
 def s13(spark, sf):
-    return store.kept_runs(daily_runs(spark, sf), 10).select("analysis_id", utc("created_us").alias("created_at"))
+    root = daily_store(spark, sf)
+    store.apply_retention(spark, root, 10)
+    return store.runs(spark, root).select("analysis_id", utc("created_us").alias("created_at"))
 
 
 def s14(spark, sf):
-    events = table(spark, sf, "events").select(F.expr("'run-' || date(ts)").alias("analysis_id"), "event_id")
-    left = daily_runs(spark, sf).filter("analysis_id != 'run-2024-01-10'")
-    return store.rows_of_runs(events, left).groupBy("analysis_id").agg(F.count("*").alias("events"))
+    root = daily_store(spark, sf)
+    store.delete(spark, root, "run-2024-01-10")
+    return spark.read.parquet(f"{root}/events").groupBy(F.col("analysis_id").cast("string").alias("analysis_id")).agg(F.count("*").alias("events"))
 
 
 def s15(spark, sf):
@@ -150,8 +163,8 @@ def truth(spark, sf):
 
 
 def labels_of(spark, sf):
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/labels-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    truth(spark, sf).write.mode("overwrite").json(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/labels-{uuid.uuid4().hex}"
+    truth(spark, sf).write.json(path)
     return evaluate.load_labels(spark, path, one_document=False)
 
 
@@ -402,9 +415,12 @@ def v1(spark, sf):
 
 def v2(spark, sf):
     found = analysis_of(spark, sf)
-    out = evaluate.scenario_matches(found.incidents, found.incident_entities, evaluate.scenario_values(labels_of(spark, sf)), SCALED)
+    labels = labels_of(spark, sf)
+    out = evaluate.scenario_matches(found.incidents, found.incident_entities, evaluate.scenario_values(labels), SCALED,
+                                    evaluate.scenario_stages(labels))
     return out.select("scenario_id", "detected", _lines("expected_entities").alias("expected_entities"),
-                      _lines("found_entities").alias("found_entities"), "incident_id", _lines("found_stages").alias("found_stages"))
+                      _lines("found_entities").alias("found_entities"), "incident_id", _lines("expected_stages").alias("expected_stages"),
+                      _lines("found_stages").alias("found_stages"))
 
 
 def v3(spark, sf):
@@ -419,7 +435,7 @@ def v3(spark, sf):
 
 
 def q1(spark, sf):
-    return reports.events_per_hour(sec_events(spark, sf)).select(utc("hour_us").alias("hour"), "count")
+    return reports.events_per_hour(sec_events(spark, sf)).select(utc("hour_us").alias("hour"), "count").orderBy("hour")
 
 
 def q2(spark, sf):
@@ -443,7 +459,7 @@ def q4(spark, sf):
 
 
 def q5(spark, sf):
-    return analysis_of(spark, sf).cards().select("incident_id", "title", "risk_score", "level", utc("start_us").alias("start_ts"),
+    return analysis_of(spark, sf).cards().orderBy("incident_no").select("incident_id", "title", "risk_score", "level", utc("start_us").alias("start_ts"),
                                                   utc("end_us").alias("end_ts"), _lines("stages").alias("stages"), "summary")
 
 
@@ -463,7 +479,7 @@ def q7(spark, sf):
 
 
 def q8(spark, sf):
-    return store.latest_runs(daily_runs(spark, sf)).select("analysis_id", utc("created_us").alias("created_at"))
+    return store.latest_runs(store.runs(spark, daily_store(spark, sf))).select("analysis_id", utc("created_us").alias("created_at"))
 
 
 def q9(spark, sf):

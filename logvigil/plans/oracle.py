@@ -431,7 +431,7 @@ ORACLES: dict[str, str] = {
     "V1_entity_quality": sql("""SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 3) WHEN tp + fn = 0 THEN 1.0 ELSE 0.0 END AS precision,
         CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 3) ELSE 1.0 END AS recall FROM (SELECT (SELECT count(*) FROM flagged WHERE value IN (SELECT value FROM bad)) AS tp,
         (SELECT count(*) FROM flagged WHERE value NOT IN (SELECT value FROM bad)) AS fp, (SELECT count(*) FROM bad WHERE value NOT IN (SELECT value FROM flagged)) AS fn)"""),
-    "V2_scenario_matches": sql(f"""SELECT e.scenario_id, b.incident_id IS NOT NULL AS detected, e.expected_entities, coalesce(b.found, '') AS found_entities, b.incident_id,
+    "V2_scenario_matches": sql(f"""SELECT e.scenario_id, b.incident_id IS NOT NULL AS detected, e.expected_entities, coalesce(b.found, '') AS found_entities, b.incident_id, 'Initial Access' AS expected_stages,
         coalesce(b.stages, '') AS found_stages FROM (SELECT sid AS scenario_id, string_agg(value, '|' ORDER BY value) AS expected_entities FROM wanted GROUP BY sid) e LEFT JOIN (
           SELECT sid, incident_id, string_agg(value, '|' ORDER BY value) AS found, array_to_string(first(stages), '|') AS stages, row_number() OVER (
             PARTITION BY sid ORDER BY count(*) DESC, incident_no) AS rn FROM wanted JOIN (SELECT DISTINCT incident_id, incident_no, stages, value FROM inc_ents

@@ -15,7 +15,7 @@ from logvigil.functions.net import clean_ip
 from logvigil.functions.timing import EPOCH_NTZ
 from logvigil.operators.intervals import with_previous, with_running_sum
 from logvigil.session import settled
-from logvigil.sources.text import cut_lines, number_lines, scan_lines
+from logvigil.sources.text import binary_files, cut_lines, list_files, number_lines, scan_lines, unique_names
 
 # The line patterns, in the notation of Spark's regex engine.
 AUTH_LINE = (r"(?U)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\S+)\s+([^\s:\[]+)(?:\[\d+\])?:\s?"
@@ -282,11 +282,15 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFrame:
-    """Parses each file by its format. Lines of files without one are kept as not parsed.
+    """Parses each file by its format. Lines of files whose format is null are kept as not parsed.
 
-    The lines are stored by format once, so each parser reads its own lines and nothing else.
+    ``formats`` has ``file, format`` of the files to take, and the ``name`` to show them by where it is not
+    ``file``. The lines are stored by format once, so each parser reads its own lines and nothing else.
     """
-    known = settled(lines.join(formats, "file", "left"), "lines", "format")
+    placed = lines.join(formats, "file")
+    if "name" in formats.columns:
+        placed = placed.withColumn("file", F.col("name")).drop("name")
+    known = settled(placed, "lines", "format")
     each = [parser(known.filter(F.col("format") == f).drop("format")) for f, parser in (
         ("auth", lambda d: parse_auth(d, cfg)), ("access", parse_access), ("jsonl", parse_jsonl))]
     none = F.lit(None).cast("string")
@@ -295,11 +299,23 @@ def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFr
     return reduce(DataFrame.unionByName, [*each, rest])
 
 
-def ingest(spark: SparkSession, paths: list[str], cfg: Thresholds) -> DataFrame:
-    """Parsed lines of text files: one scan for the votes, one for numbering and storing, then the parsers."""
-    scanned = scan_lines(spark, paths)
-    votes = detect_formats(cut_lines(scanned).filter("raw != ''"), ("block", "pos", "part"))
-    return parse_lines(number_lines(scanned), votes, cfg)
+def known_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, name, size, is_binary, format`` per file: unique name, judgement of its head, vote."""
+    votes = detect_formats(cut_lines(scan_lines(spark, paths)).filter("raw != ''"), ("block", "pos", "part"))
+    binary = binary_files(spark, paths).withColumn("is_binary", F.lit(True))
+    return (unique_names(list_files(spark, paths)).join(binary, "file", "left").join(votes, "file", "left")
+            .select("file", "name", "size", F.coalesce("is_binary", F.lit(False)).alias("is_binary"),
+                    F.when(F.col("is_binary").isNull(), F.col("format")).alias("format")))
+
+
+def ingest(spark: SparkSession, paths: list[str], cfg: Thresholds, files: DataFrame | None = None) -> DataFrame:
+    """Parsed lines of text files under their unique names; lines of binary files are left out.
+
+    ``files`` are those of ``known_files``, for callers that have written them already.
+    """
+    files = settled(known_files(spark, paths), "files") if files is None else files
+    text_files = files.filter("NOT is_binary").select("file", "name", "format")
+    return parse_lines(number_lines(scan_lines(spark, paths)), text_files, cfg)
 
 
 def events_of(parsed: DataFrame) -> DataFrame:
@@ -313,7 +329,17 @@ def accounting(parsed: DataFrame, *keys: str) -> DataFrame:
         F.count(F.when(~F.col("parsed"), 1)).alias("skipped"), F.count("type").alias("events"))
 
 
-def require_parsed(parsed: DataFrame) -> None:
-    """Fails where no line at all could be parsed."""
-    if parsed.filter("parsed").isEmpty():
-        raise ValueError(f"No parsable lines. Supported formats: {SUPPORTED}.")
+def file_report(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``name, size, format, lines_total, parsed, skipped, events, problem`` per file; the problem is null where lines parsed."""
+    counts = accounting(parsed, "file").withColumnRenamed("file", "name")
+    known = files.join(counts, "name", "left").na.fill(0, ["lines_total", "parsed", "skipped", "events"])
+    problem = (F.when(F.col("is_binary"), "is a binary file").when(F.col("lines_total") == 0, "is empty")
+               .when(F.col("format").isNull(), "has no known format").when(F.col("parsed") == 0, "has no valid line"))
+    return known.select("name", "size", "format", "lines_total", "parsed", "skipped", "events", problem.alias("problem"))
+
+
+def require_parsed(report: DataFrame, shown: int = 20) -> None:
+    """Fails where no line at all could be parsed, naming the first files and what is wrong with each."""
+    if report.filter("parsed > 0").isEmpty():
+        reasons = [f"'{r.name}' {r.problem}" for r in report.orderBy("name").limit(shown).select("name", "problem").collect()]
+        raise ValueError(f"No parsable lines: {'; '.join(reasons) or 'no file has content'}. Supported formats: {SUPPORTED}.")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logvigil.operators.intervals import UNBOUNDED
 
@@ -48,6 +50,24 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return number_lines(scan_lines(spark, paths))
 
 
+def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, path, size, position`` of every file in the order given; contents are not opened.
+
+    Files without a single byte are not listed: Spark's readers pass over them.
+    Fails where several of the given paths reach the same file, as its lines would be read several times.
+    """
+    # The name comes as part of a URI, in which a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    each = [spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"), name.alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.lit(i).alias("given")) for i, path in enumerate(paths)]
+    files = reduce(DataFrame.unionByName, each)
+    twice = files.groupBy("file").count().filter("count > 1").orderBy("file").first()
+    if twice is not None:
+        raise ValueError(f"several of the given paths reach {twice.file}")
+    return files.select("file", "path", "size", F.struct("given", "file").alias("position"))
+
+
 def unique_names(files: DataFrame) -> DataFrame:
     """Adds ``name`` to ``position, path``: the base name, with _2, _3, ... before the extension on repeats (S3)."""
     base = F.when(F.coalesce(F.col("path"), F.lit("")) == "", "upload.log").otherwise(F.substring_index("path", "/", -1))
@@ -61,27 +81,40 @@ def unique_names(files: DataFrame) -> DataFrame:
                 F.concat(root, F.lit("_"), F.col("nth").cast("string"), extension))).drop("base", "nth"))
 
 
-def read_uploads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, content`` of whole small files, for ``judge_uploads``."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
+def control_bytes(head: Column) -> Column:
+    """Number of control bytes. One byte is one character in Latin-1, so byte counts are character counts."""
+    return F.length(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\x00-\x08\x0e-\x1f]", ""))
+
+
+def has_signature(head: Column) -> Column:
+    return F.hex(F.substring(head, 1, 4)).rlike("^(" + "|".join(SIGNATURES) + ")")
+
+
+def binary_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file`` of every binary file, judged by its first 8 KiB like ``judge_uploads``.
+
+    The head is put together from the lines of the file's first block, so no file is ever held whole.
+    No signature holds a line feed, so the first line has all of it.
+    """
+    lines = (spark.read.text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("bytes"))
+        .filter("block = 0").select("file", "size", "pos", F.length("bytes").cast("bigint").alias("n"),
+                                    F.substring("bytes", 1, HEAD_BYTES).alias("bytes")))
+    # Every line takes a byte or more of the head, which bounds the rows that are ordered within a file.
+    by_file = Window.partitionBy("file").orderBy("pos")
+    first = lines.withColumn("nth", F.row_number().over(by_file)).filter(F.col("nth") <= HEAD_BYTES)
+    start = F.coalesce(F.sum(F.col("n") + 1).over(by_file.rowsBetween(UNBOUNDED, -1)), F.lit(0))
+    head = first.withColumn("start", start).filter(F.col("start") < HEAD_BYTES).withColumn(
+        "bytes", F.substring("bytes", F.lit(1), (F.lit(HEAD_BYTES) - F.col("start")).cast("int")))
+    return (head.groupBy("file").agg(F.sum(control_bytes(F.col("bytes"))).alias("controls"), F.min(F.least("size", F.lit(HEAD_BYTES))).alias("length"),
+                                     F.bool_or((F.col("nth") == 1) & has_signature(F.col("bytes"))).alias("signed"))
+            .filter("signed OR controls * 10 > length").select("file"))
 
 
 def judge_uploads(uploads: DataFrame) -> DataFrame:
-    """Adds ``is_binary`` and ``text``: known signatures or more than 10 % control bytes in the head."""
+    """Adds ``is_binary`` and ``text`` to rows with ``content``: known signatures or more than 10 % control bytes in the head."""
     head = F.substring("content", 1, HEAD_BYTES)
-    # One byte is one character in Latin-1, so byte counts are character counts.
-    latin = F.decode(head, "ISO-8859-1")
-    controls = F.length(F.regexp_replace(latin, r"[^\x00-\x08\x0e-\x1f]", ""))
-    magic = F.hex(F.substring("content", 1, 4)).rlike("^(" + "|".join(SIGNATURES) + ")")
-    binary = magic | (controls * 10 > F.length(head))
+    binary = has_signature(head) | (control_bytes(head) * 10 > F.length(head))
     text = F.translate(F.make_valid_utf8(F.col("content").cast("string")), "\x00", "")
     return uploads.withColumn("is_binary", binary).withColumn("text", F.when(~binary, text)).drop("content")
-
-
-def lines_of_uploads(judged: DataFrame) -> DataFrame:
-    """Numbered lines of accepted uploads."""
-    breaks = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-    return (judged.filter("text IS NOT NULL")
-            .select("file", F.posexplode(F.split("text", breaks)).alias("i", "line"))
-            .select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), F.btrim("line", F.lit(SPACES)).alias("raw"))
-            .filter("raw != ''"))

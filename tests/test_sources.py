@@ -108,26 +108,50 @@ def test_files_are_numbered_over_block_borders(spark, tmp_path):
 
 
 def test_ingest_mixed_files(spark, tmp_path):
-    (tmp_path / "auth.log").write_text("\n".join(AUTH) + "\n\n")
+    for sub in ("a", "b"):
+        (tmp_path / sub).mkdir()
+    (tmp_path / "a" / "auth.log").write_text("\n".join(AUTH) + "\n\n")
+    (tmp_path / "b" / "auth.log").write_text("\n".join(AUTH[:5]))
     (tmp_path / "access.log").write_text("\n".join(ACCESS))
-    (tmp_path / "odd.txt").write_text("hello\nworld\n")
-    parsed = formats.ingest(spark, [str(tmp_path)], DEFAULT)
-    counts = {r.file.rsplit("/", 1)[1]: (r.lines_total, r.parsed, r.skipped, r.events) for r in formats.accounting(parsed, "file").collect()}
-    assert counts == {"auth.log": (17, 16, 1, 16), "access.log": (6, 2, 4, 2), "odd.txt": (2, 0, 2, 0)}
-    formats.require_parsed(parsed)
-    with pytest.raises(ValueError, match="Supported formats"):
-        formats.require_parsed(parsed.filter("file LIKE '%odd.txt'"))
-
-
-def test_uploads(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(b"GIF89a")
-    assert text.judge_uploads(text.read_uploads(spark, [str(tmp_path / "a.bin")])).first().is_binary
+    (tmp_path / "odd one.txt").write_text("hello\nworld\n")
+    (tmp_path / "empty.log").write_text(" \n\n")
+    (tmp_path / "tool.log").write_bytes(b"\x7fELF\x02\n" + "\n".join(AUTH[:2]).encode())
+    (tmp_path / "damaged.log").write_bytes("\n".join(AUTH).encode().replace(b"gate3", b"ga\x00te3"))
+    paths = [str(tmp_path / "b" / "auth.log"), str(tmp_path / "a"), str(tmp_path / "[deot]*")]
+    paths += [str(tmp_path / "access.log")]
+    files = formats.known_files(spark, paths)
+    parsed = formats.ingest(spark, paths, DEFAULT, files)
+    report = formats.file_report(files, parsed)
+    counts = {r.name: (r.format, r.lines_total, r.parsed, r.events, r.problem) for r in report.collect()}
+    assert counts == {
+        "auth.log": ("auth", 5, 5, 5, None), "auth_2.log": ("auth", 17, 16, 16, None), "access.log": ("access", 6, 2, 2, None),
+        "odd one.txt": (None, 2, 0, 0, "has no known format"), "empty.log": (None, 0, 0, 0, "is empty"),
+        "tool.log": (None, 0, 0, 0, "is a binary file"), "damaged.log": ("auth", 17, 16, 16, None)}
+    ids = {r.id for r in formats.events_of(parsed).select("id").collect()}
+    assert {"auth.log:3", "auth_2.log:3", "access.log:1"} <= ids and not any("/" in i or i.startswith("tool") for i in ids)
+    formats.require_parsed(report)
+    with pytest.raises(ValueError, match="reach .*access.log"):
+        formats.known_files(spark, [str(tmp_path / "*.log"), str(tmp_path / "access.log")])
+    with pytest.raises(ValueError, match="'empty.log' is empty; 'odd one.txt' has no known format; 'tool.log' is a binary file. Supported"):
+        formats.require_parsed(report.filter("parsed = 0"))
+
+
+def test_heads_of_files(spark, tmp_path):
+    cases = {"gif": b"GIF89a", "controls": b"\x01" * 20 + b"a\n" * 50, "few": b"\x01" * 10 + b"a\n" * 50, "nul": b"ab\x00c\r\n" * 9,
+             "late": b"ok line\n" * 1024 + b"\x02" * 9000, "long": b"x" * 8192 + b"\x02" * 9000, "early": b"y" * 7000 + b"\n" + b"\x02" * 9000,
+             "windows": b"MZ\n\nabc", "second": b"a\nMZ", "empty": b""}
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.file.rsplit("/", 1)[1] for r in text.binary_files(spark, [str(tmp_path)]).collect()}
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in cases.items()], "file string, content binary")
+    assert got == {r.file for r in text.judge_uploads(rows).collect() if r.is_binary} == {"gif", "controls", "nul", "early", "windows"}
+
+
+def test_uploads(spark):
     rows = [("png", bytearray(b"\x89PNG....")), ("ctl", bytearray(b"\x01" * 20 + b"a" * 100)), ("ok", bytearray(b"a\x00b\xffc and more text\n")), ("empty", bytearray())]
     got = {r.file: r for r in text.judge_uploads(spark.createDataFrame(rows, "file string, content binary")).collect()}
     assert got["png"].is_binary and got["ctl"].is_binary and not got["ok"].is_binary and not got["empty"].is_binary
-    assert got["ok"].text == "ab�c and more text\n" and got["png"].text is None
-    assert [(r.line_no, r.raw) for r in text.lines_of_uploads(spark.createDataFrame([("f", "x\r\n\n y \x0bz")], "file string, text string")).orderBy("line_no").collect()] == [
-        (1, "x"), (3, "y"), (4, "z")]
+    assert got["ok"].text == "ab\ufffdc and more text\n" and got["png"].text is None
 
 
 def test_unique_names(spark):
