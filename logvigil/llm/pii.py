@@ -20,16 +20,24 @@ class Kind:
 
 # The base kinds, as patterns for Java's engine. Possessive loops and start guards do not change what
 # matches (no class meets what follows it, and a match that could start inside a run could start at the run's first
-# character); they keep matching linear and free of recursion on very long runs.
+# character); they keep matching linear and free of recursion on very long runs. Of an IBAN the pattern takes the first
+# four characters only and looks ahead at the longest run that may belong to it (at most 34 letters and digits); where
+# it ends, iban_within tells.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write|courriel|correo"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"\bip\b|address|host|server|adresse|direcci"),
     Kind("card", r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+", 0.7, "card|visa|credit|payment|karte|carte|tarjeta",
          hint=r"(?:[0-9][\x20-]?){13}[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax|anruf|appel|llam"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, "iban|bank|account|konto|compte|cuenta", False, 0.5),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|konto|compte|cuenta", False, 0.5),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, "ssn|social|security|insurance", False, 0.5),
 )
+#: Letters and digits of an IBAN by country, as in the registry.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 #: Code points looked at on either side for context words, and what such a word adds.
 NEAR, RAISE = 40, 0.2
 
@@ -57,6 +65,23 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+def iban_within(run: Column) -> Column:
+    """The IBAN that a run of letters and digits begins with, or null.
+
+    It ends at a space or with the run, has its country's length and leaves 1 modulo 97. A country that the registry does
+    not know may have 15 to 34 letters and digits; the longest such part that passes is taken.
+    """
+    parts = F.split(run, " ")
+    ends = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+    known = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+
+    def passes(part: Column) -> Column:
+        n = F.length(F.regexp_replace(part, " ", ""))
+        return F.coalesce(n == F.try_element_at(known, F.substring(run, 1, 2)), n >= 15) & mod97(part)
+
+    return F.get(F.filter(ends, passes), F.lit(0))
+
+
 def confirmed(kind: str, found: Column) -> Column:
     n = F.length(_digits(found))
     if kind == "ip":
@@ -66,26 +91,34 @@ def confirmed(kind: str, found: Column) -> Column:
     if kind == "phone":
         return (n >= 10) & (n <= 15)
     if kind == "iban":
-        return mod97(found)
+        return found.isNotNull()
     return F.lit(True)
 
 
 def _proposed(text: Column, kind: Kind) -> Column:
-    """Spans (start, end, nth, found) of one kind: running lengths of what lies between the matches and of the matches."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    """Spans (start, end, nth, found) of one kind: running lengths of what lies between the matches and of the matches.
+
+    Of IBANs the match is only the head, so every head gets its turn; one inside an IBAN already found is passed over.
+    """
+    iban = kind.name == "iban"
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), int(iban))
+    if iban:
+        matches = F.transform(matches, iban_within)
     between = F.transform(F.split(text, kind.pattern, -1), lambda gap: F.char_length(gap))
 
     def placed(found: Column) -> Column:
         lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,nth:int,found:string>>").alias("spans"))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("to"),
+                         F.array().cast("array<struct<start:int,end:int,kind:string,nth:int,found:string>>").alias("spans"))
 
         def step(state: Column, x: Column) -> Column:
             begin = state["at"] + x["gap"]
             end = begin + F.char_length(x["m"])
             span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"),
                             F.lit(KINDS.index(kind)).alias("nth"), x["m"].alias("found"))
-            return F.struct(end.alias("at"), F.when(confirmed(kind.name, x["m"]), F.concat(state["spans"], F.array(span))).otherwise(
-                state["spans"]).alias("spans"))
+            taken = confirmed(kind.name, x["m"]) & (begin >= state["to"])
+            return F.struct((begin + 4 if iban else end).alias("at"), F.when(taken, end).otherwise(state["to"]).alias("to"),
+                            F.when(taken, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
         return F.aggregate(lengths, start, step, lambda s: s["spans"])
 
@@ -119,7 +152,7 @@ def _joined(spans: Column) -> Column:
 def find(documents: DataFrame) -> DataFrame:
     """Counts and spans of personal data in every whole text; one scan, no shuffle.
 
-    Base kinds (email, ip, card, phone) are the four given patterns with their checks; iban (mod 97) and ssn (kept only
+    Base kinds (email, ip, card, phone) are the four given patterns with their checks; iban (country's length, mod 97) and ssn (kept only
     with a context word near) are the method's own. Null text counts as empty. Rows are independent of each
     other, so repeated rows and ids give repeated results. Columns other than doc_id and text are not read.
     """

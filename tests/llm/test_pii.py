@@ -64,3 +64,34 @@ def test_redaction(make):
 
 def test_empty_table(make):
     assert pii.find(make([])).count() == 0
+
+
+IBANS = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"]
+
+
+def test_iban_ends(make):
+    after = [" The rest", " I paid", " EUR 50", " 2024", " 2024 AND ALL THE REST OF IT IN CAPITALS", "", ".", ", then", " DE89370400440532013000 I", "  X"]
+    texts = [f"IBAN {iban}{tail}" for iban in IBANS for tail in after]
+    texts += ["IBAN DE89370400440532013000abc", "IBAN DE89370400440532013000X", "ref AB12 DE89 3704 0044 0532 0130 00 I paid", "é😀 GB82 WEST 1234 5698 7654 32 A",
+              "IBAN DE89 3704 0044 0532 0130 01 The"]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.find(make(texts)).collect()}
+    for i, text in enumerate(texts[:len(IBANS) * len(after)]):
+        iban = IBANS[i // len(after)]
+        want = [f"iban:5:{5 + len(iban)}"] + ([f"iban:{6 + len(iban)}:{28 + len(iban)}"] if text.endswith("000 I") else [])
+        assert got[i] == want, text
+    assert [got[i] for i in range(len(IBANS) * len(after), len(texts))] == [[], [], ["iban:9:36"], ["iban:3:30"], []]
+
+
+def test_iban_redaction(make):
+    rows = make(["to DE89370400440532013000 The rest", "to GB82 WEST 1234 5698 7654 32 2024"]).select(
+        "doc_id", pii.redact(F.col("text"), pii.spans_of(F.col("text"))).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == ["to <IBAN> The rest", "to <IBAN> 2024"]
+
+
+def test_iban_of_unregistered_country(make):
+    def check(country, rest):
+        digits = "".join(str(int(c, 36)) for c in rest + country + "00")
+        return f"{country}{98 - int(digits) % 97:02d}{rest}"
+    iban = check("ZZ", "00112233445566")
+    got = pii.find(make([f"IBAN {iban} The", f"IBAN {iban}"])).collect()
+    assert {r.spans for r in got} == {f"iban:5:{5 + len(iban)}"}
