@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash; a chunk seen before is removed."""
+"""Substring dedup: content-defined chunks by a gear rolling hash; chunks seen before are grown to whole passages and removed."""
 
 from __future__ import annotations
 
@@ -14,20 +14,44 @@ from logvigil.session import settled
 #: A cut falls after a byte whose hash of the last 32 bytes has its top BITS bits zero: chunks of 2^BITS bytes on average.
 BITS, WINDOW = 6, 32
 _GEAR = mixed(np.arange(5001, 5257, dtype=np.uint64)) >> np.uint64(32)
+#: Passages below LEAST bytes stay. Seeds end at the least hash of some SPREAD places in a row: 48 bytes on average, and
+#: a passage of 2 * SPREAD + WINDOW bytes or more holds a whole one.
+LEAST, SPREAD = 50, 95
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def cuts(raw: np.ndarray) -> np.ndarray:
-    """Ends of the chunks. The gear hash shifts by one bit a byte, so 32 bits depend on 32 bytes; built by doubling."""
-    if not len(raw):
-        return np.zeros(0, np.int64)
+def _gear(raw: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte. It shifts by one bit a byte, so 32 bits depend on 32 bytes; built by doubling."""
     h, span = np.concatenate([np.zeros(WINDOW - 1, np.uint64), _GEAR[raw]]), 1
     while span < WINDOW:
-        h = ((h[:-span] << np.uint64(span)) + h[span:]) & np.uint64(0xFFFFFFFF)
+        h = ((h[:-span] << np.uint64(span)) + h[span:]) & _LOW
         span *= 2
+    return h
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Ends of the chunks."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    h = _gear(raw)
     ends = np.flatnonzero(h >> np.uint64(32 - BITS) == 0) + 1
     return np.unique(np.append(ends, len(raw)))
 
 
+def seed_ends(raw: np.ndarray) -> np.ndarray:
+    """Ends of the seeds. Of ends in a row with one hash (periodic text) only the first counts."""
+    if len(raw) < SPREAD + WINDOW - 1:
+        return np.array([len(raw)] if len(raw) else [], np.int64)
+    h = _gear(raw)
+    low = ((h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64))[WINDOW - 1:]
+    for step in (1, 2, 4, 8, 16, 32):
+        low = np.minimum(low[:-step], low[step:])
+    low = np.minimum(low[:-(SPREAD - 64)], low[SPREAD - 64:])
+    at = np.unique((low & _LOW).astype(np.int64))
+    at = at[np.concatenate([[True], h[at][1:] != h[at][:-1]])]
+    return np.unique(np.append(at + 1, len(raw)))
+
+
 def _chunked(batches):
     for batch in batches:
         ids, starts, lengths, digests = [], [], [], []
@@ -73,3 +97,128 @@ def remove_chunks(documents: DataFrame) -> DataFrame:
         F.collect_list(F.struct("start", "length")).alias("gone")), "chunks-gone")
     return docs.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(
         _cut_out, "doc_id long, n_bytes long, n_removed long, n_chunks_removed long, kept_sha256 string")
+
+
+def _seeded(batches):
+    for batch in batches:
+        ids, starts, lengths, digests = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = text.as_py() or b""
+            at = 0
+            for end in seed_ends(np.frombuffer(raw, np.uint8)).tolist():
+                # The bytes that made the cut before belong to the name, so short seeds do not meet by chance. Short texts only meet each other.
+                before = min(at, WINDOW)
+                name = raw[at - before:end] + bytes([255 if len(raw) < LEAST else before])
+                ids.append(doc_id)
+                starts.append(at)
+                lengths.append(end - at)
+                digests.append(hashlib.blake2b(name, digest_size=16).digest())
+                at = end
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                                          pa.array(digests, pa.binary())], names=["doc_id", "start", "length", "digest"])
+
+
+def _runs(seeds: list[dict]) -> list[list[int]]:
+    """Seeds that follow each other here and in one source: [start, end, source id, its start, its end, seeds]."""
+    out = []
+    for s in sorted(seeds, key=lambda s: s["start"]):
+        if out and out[-1][1:5:3] == [s["start"], s["src_start"]] and out[-1][2] == s["src"]:
+            out[-1][1] += s["length"]
+            out[-1][4] += s["length"]
+            out[-1][5] += 1
+        else:
+            out.append([s["start"], s["start"] + s["length"], s["src"], s["src_start"], s["src_start"] + s["length"], 1])
+    return out
+
+
+def _ends_of_runs(batches):
+    """What stands before (side 0) and after (side 1) each run's source is asked for."""
+    for batch in batches:
+        rows = [row for doc_id, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for start, end, src, src_start, src_end, _ in _runs(gone)
+                for row in ((doc_id, start, 0, src, src_start), (doc_id, end, 1, src, src_end))]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])],
+                                         names=["doc_id", "at", "side", "src", "src_at"])
+
+
+def _surroundings(batches):
+    """Bytes beside the places asked for: as far as a common passage can go without a further common seed."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            if not places:
+                continue
+            raw = text.as_py() or b""
+            ends = np.concatenate([[0], seed_ends(np.frombuffer(raw, np.uint8))])
+            for place in places:
+                at = place["src_at"]
+                if place["side"]:
+                    far = ends[min(np.searchsorted(ends, at + 2 * (SPREAD + WINDOW)) + 1, len(ends) - 1)]
+                    body = raw[at:far]
+                else:
+                    near = ends[max(np.searchsorted(ends, at - 2 * (SPREAD + WINDOW), side="right") - 2, 0)]
+                    body = raw[near:at]
+                rows.append((doc_id, at, place["side"], body))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary()])],
+                                         names=["src", "src_at", "side", "body"])
+
+
+def _alike(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else []
+    return int(differ[0]) if len(differ) else n
+
+
+def _passages_out(batches):
+    for batch in batches:
+        rows = []
+        for doc_id, text, gone, beside in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            raw, at, kept, seeds = text.as_py() or b"", 0, [], 0
+            bodies = {(b["at"], b["side"]): b["body"] for b in beside or []}
+            spans = []
+            for start, end, _, _, _, n in _runs(gone or []):
+                left, right = bodies.get((start, 0), b""), bodies.get((end, 1), b"")
+                a, z = start - _alike(raw[max(0, start - len(left)):start][::-1], left[::-1]), end + _alike(raw[end:end + len(right)], right)
+                if z - a >= min(LEAST, len(raw)):
+                    spans.append((a, z))
+                    seeds += n
+            for a, z in sorted(spans):
+                kept.append(raw[at:max(a, at)])
+                at = max(at, z)
+            kept = b"".join([*kept, raw[at:]])
+            rows.append((doc_id, len(raw), len(raw) - len(kept), seeds, hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()])],
+                                         names=["doc_id", "n_bytes", "n_removed", "n_chunks_removed", "kept_sha256"])
+
+
+def remove_passages(documents: DataFrame) -> DataFrame:
+    """Removes passages that stand before, by (doc_id, start), in another place: equal seeds, grown byte by byte on both sides.
+
+    A seed meets its first equal. Seeds that follow each other in both places form a run; its ends are compared with what
+    stands beside its source, and the passage goes if it has LEAST bytes or more. Every removed byte stands at an earlier
+    place, so its first occurrence is kept. A passage of 222 bytes holds a seed for certain, a shorter one by chance; it grows as far as it
+    agrees with the document its seed stood in first.
+
+    Texts under LEAST bytes go as a whole, if an earlier text is the same. Null text: empty. Null doc_id: left whole. Rows of one doc_id should be
+    equal. Empty table: no rows. n_chunks_removed counts the seeds. Further columns are not read.
+    """
+    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = settled(docs.filter("doc_id IS NOT NULL").mapInArrow(_seeded, "doc_id long, start long, length long, digest binary"), "seeds")
+    first = settled(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
+                    .select("digest", F.col("first.doc_id").alias("src"), F.col("first.start").alias("src_start")), "seeds-first")
+    again = rows.join(first.hint("merge"), "digest").filter("doc_id <> src OR start <> src_start")
+    gone = settled(again.select("doc_id", "start", "length", "src", "src_start").distinct().groupBy("doc_id").agg(
+        F.collect_list(F.struct("start", "length", "src", "src_start")).alias("gone")), "seeds-gone")
+    asked = settled(gone.mapInArrow(_ends_of_runs, "doc_id long, at long, side int, src long, src_at long"), "seeds-asked")
+    places = asked.select("src", "src_at", "side").distinct().groupBy(F.col("src").alias("doc_id")).agg(
+        F.collect_list(F.struct("src_at", "side")).alias("places"))
+    # Both joins place the texts alike, as left joins of the same columns, so one shuffle of them serves both.
+    bodies = docs.join(places.hint("merge"), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
+        _surroundings, "src long, src_at long, side int, body binary").groupBy("src", "src_at", "side").agg(F.first("body").alias("body"))
+    beside = asked.join(bodies.hint("merge"), ["src", "src_at", "side"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "side", "body")).alias("beside"))
+    return docs.join(gone.join(beside.hint("merge"), "doc_id", "left").hint("merge"), "doc_id", "left").select("doc_id", "text", "gone", "beside").mapInArrow(
+        _passages_out, "doc_id long, n_bytes long, n_removed long, n_chunks_removed long, kept_sha256 string")

@@ -50,7 +50,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.remove_chunks(read(spark, sf_dir, "documents"))
+    return chunks.remove_passages(read(spark, sf_dir, "documents"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
