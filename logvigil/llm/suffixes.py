@@ -1,4 +1,4 @@
-"""Suffix-array dedup: bytes covered by long matches with earlier documents, by longest previous factors of bucketed suffixes."""
+"""Dedup of 50-byte strings: bytes covered by matches with earlier documents, by groups of equal windows in place of a suffix array."""
 
 from __future__ import annotations
 
@@ -148,11 +148,10 @@ def _contexts(buckets: int):
 
 
 def previous_factors(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which suffixes have a previous factor of LENGTH bytes in a document with a smaller id.
+    """Which windows of LENGTH bytes also stand in a document with a smaller id.
 
-    In suffix order, suffixes with a common prefix of at least LENGTH form a run. The longest previous factor of a suffix is
-    the longer of its common prefixes with the previous and the next suffix of smaller id; it reaches LENGTH if one
-    of the two lies in the same run, that is, if the suffix is above the run's least id.
+    Equal windows form a run in sorted order; those above the run's least id have a previous factor of LENGTH bytes or more.
+    No suffix array or common-prefix lengths are built: only whether LENGTH is reached matters.
     """
     order = np.argsort(np.ascontiguousarray(windows).view(f"S{LENGTH}")[:, 0], kind="stable")
     inside = (windows[order][1:] == windows[order][:-1]).all(1)
@@ -228,7 +227,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     Every 50-byte string has an anchor, its least hashed 25-byte substring, so equal strings meet under equal anchors. Documents
     are dealt into groups of about GROUP bytes once; groups send the names of their anchors to hash buckets and get back
     which are shared. Only windows of shared anchors are sent on, each distinct context of a group once with its least
-    id, however many of its documents hold it. Buckets sort these suffixes and answer by longest previous factors, and
+    id, however many of its documents hold it. Buckets sort these windows and group equal ones, and
     the groups cut their texts. The four steps read one shuffle of the texts.
 
     Null text: empty. Texts under 50 bytes lose nothing. Null doc_ids count as the largest; rows of one id never remove
