@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logvigil.llm import chunks, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
+from logvigil.llm import bpe, chunks, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
 from logvigil.llm.common import read
 
 
@@ -57,6 +57,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file()
+    return bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1,
     "op2_int8_embedding_neardup": op2,
@@ -68,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_completion_packing": op8,
     "op9_gear_chunk_dedup": op9,
     "op10_cnn_toxicity": op10,
+    "op12_speculative_bpe": op12,
 }
