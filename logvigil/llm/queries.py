@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logvigil.llm import bpe, chunks, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
+from logvigil.llm import bpe, chunks, divergence, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
 from logvigil.llm.common import read
 
 
@@ -63,6 +63,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1,
     "op2_int8_embedding_neardup": op2,
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gear_chunk_dedup": op9,
     "op10_cnn_toxicity": op10,
     "op12_speculative_bpe": op12,
+    "op13_iceberg_source_audit": op13,
 }
