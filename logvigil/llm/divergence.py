@@ -88,7 +88,8 @@ def count_prefixes(blocks: DataFrame, length: int, before: int, keep) -> DataFra
     def run(batches):
         bits = None if keep is None else np.frombuffer(keep.value, np.uint8)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 terms = row["terms"].split(b"\0") if row["terms"] else []
                 alive = _alive(row["lang"], terms, before, bits)
                 number: dict[bytes, int] = {}
@@ -122,7 +123,8 @@ def count_terms(blocks: DataFrame, keep) -> DataFrame:
     def run(batches):
         bits = np.frombuffer(keep.value, np.uint8)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 terms = row["terms"].split(b"\0") if row["terms"] else []
                 alive = _alive(row["lang"], terms, 1 << 30, bits)
                 size = np.frombuffer(row["size"], "<u4")

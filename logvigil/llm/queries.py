@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logvigil.llm import bpe, chunks, divergence, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
+from logvigil.llm import bpe, chunks, dialogue, divergence, embeddings, fingerprints, mixing, oddsketch, packing, pii, sharding, suffixes, toxicity
 from logvigil.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.digests(dialogue.repair(read(spark, sf_dir, "conversations")))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file()
     return bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path).select(
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_completion_packing": op8,
     "op9_gear_chunk_dedup": op9,
     "op10_cnn_toxicity": op10,
+    "op11_conversation_repair": op11,
     "op12_speculative_bpe": op12,
     "op13_iceberg_source_audit": op13,
 }
