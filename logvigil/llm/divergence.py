@@ -13,7 +13,7 @@ from logvigil.session import settled
 THRESHOLD = 10
 TOP = 10
 #: Byte lengths of the prefixes that are counted one after the other before complete terms are.
-LEVELS = (2, 4, 6, 9)
+LEVELS = (3, 5, 8)
 #: Bits of the filter of surviving prefixes that tasks receive: a fixed 2 MB, whatever the input. Prefixes that share a bit with a surviving
 #: one are only refined in vain; every count is exact.
 FILTER_BITS = 1 << 24
@@ -65,79 +65,127 @@ def index_terms(documents: DataFrame) -> DataFrame:
     return documents.select("text", "lang", "source").mapInArrow(run, BLOCKS)
 
 
-def _slots(lang: bytes, prefixes: list[bytes], bits: int) -> np.ndarray:
-    """Filter bit of each prefix; ``slot_of`` is the same in SQL."""
-    start = zlib.crc32(lang + b"\0")
-    return np.fromiter((zlib.crc32(p, start) for p in prefixes), np.int64, len(prefixes)) % bits
+class _Terms:
+    """The terms of a block as one byte array, for work on all of them at once."""
 
+    def __init__(self, lang: str, blob: bytes):
+        self.bytes = np.frombuffer(blob + b"\0", np.uint8) if blob else np.zeros(0, np.uint8)
+        stop = np.flatnonzero(self.bytes == 0)
+        self.start = np.append(0, stop[:-1] + 1)[:len(stop)]
+        self.length = stop - self.start
+        self.salt = np.uint64(zlib.crc32(lang.encode()))
+        self.blob = blob
 
-def slot_of(lang: str, prefix: str) -> Column:
-    return F.expr(f"crc32(concat(CAST({lang} AS BINARY), X'00', {prefix})) % {FILTER_BITS}")
+    def prefix(self, length: int) -> np.ndarray:
+        """The first ``length`` bytes, at most 8, as one number; what a shorter term lacks is zero, which no term holds."""
+        code = np.zeros(len(self.start), np.uint64)
+        for i in range(length):
+            byte = np.where(i < self.length, self.bytes[np.minimum(self.start + i, len(self.bytes) - 1)], 0).astype(np.uint64)
+            code |= byte << np.uint64(8 * (7 - i))
+        return code
 
+    def whole(self) -> np.ndarray:
+        """A 64-bit mix of each complete term."""
+        place = np.arange(len(self.bytes)) - np.repeat(self.start, self.length + 1)
+        mixed = (self.bytes.astype(np.uint64) + np.uint64(1)) * _power(place)
+        return np.add.reduceat(mixed, self.start) if len(self.start) else np.zeros(0, np.uint64)
 
-def _alive(lang: str, terms: list[bytes], level: int, keep: np.ndarray | None) -> np.ndarray:
-    """Which terms have a prefix of ``level`` bytes in the filter."""
-    if keep is None or not terms:
-        return np.ones(len(terms), bool)
-    slots = _slots(lang.encode(), [t[:level] for t in terms], 8 * len(keep))
-    return (keep[slots >> 3] >> (slots & 7) & 1).astype(bool)
+    def slots(self, length: int, bits: int) -> np.ndarray:
+        code = self.whole() if length > 8 else self.prefix(length)
+        return slots_of(code, self.salt, bits)
 
+    def alive(self, length: int, keep: np.ndarray | None) -> np.ndarray:
+        """Which terms have their prefix of ``length`` bytes in the filter."""
+        if keep is None:
+            return np.ones(len(self.start), bool)
+        slots = self.slots(length, 8 * len(keep))
+        return (keep[slots >> 3] >> (slots & 7) & 1).astype(bool)
+
+
+def _power(place: np.ndarray) -> np.ndarray:
+    """Odd multiplier of each place in a term, by a 64-bit finaliser."""
+    x = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) | np.uint64(1)
+
+
+def slots_of(code: np.ndarray, salt: np.uint64, bits: int) -> np.ndarray:
+    """Filter bit of each prefix of a language; ``bits`` is a power of two."""
+    x = (code ^ (code >> np.uint64(31)) ^ (salt << np.uint64(17))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) & (bits - 1)
+
+
+def _rows(batch: pa.RecordBatch):
+    """Blocks of a batch one after the other, with their terms."""
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
+        yield row, _Terms(row["lang"], row["terms"])
+
+
+def count_prefixes(blocks: DataFrame, length: int, before: int, keep, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows (lang, prefix, slot, docs): in how many documents each prefix of ``length`` bytes begins a term, and its filter bit.
+
+    Only terms whose prefix of ``before`` bytes survived are looked at. Prefixes are numbers up to 8 bytes, bytes beyond.
+    """
+    number = length <= 8
 
-def count_prefixes(blocks: DataFrame, length: int, before: int, keep) -> DataFrame:
-    """Rows (lang, prefix, docs): in how many documents each prefix of ``length`` bytes begins a term, among the terms whose prefix of ``before`` bytes survived."""
     def run(batches):
-        bits = None if keep is None else np.frombuffer(keep.value, np.uint8)
+        held = None if keep is None else np.frombuffer(keep.value, np.uint8)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                terms = row["terms"].split(b"\0") if row["terms"] else []
-                alive = _alive(row["lang"], terms, before, bits)
-                number: dict[bytes, int] = {}
-                prefix = np.array([number.setdefault(t[:length], len(number)) if a else -1 for t, a in zip(terms, alive.tolist())], np.int64)
-                rows = len(row["source_of"]) // 2
-                of_posting = np.repeat(prefix, np.frombuffer(row["size"], "<u4"))
-                doc = np.frombuffer(row["doc"], "<u2")
-                pair = np.unique(of_posting[of_posting >= 0] * rows + doc[of_posting >= 0])
-                docs = np.bincount(pair // max(rows, 1), minlength=len(number)) if number else []
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(number), pa.string()), pa.array(list(number), pa.binary()), pa.array(docs, pa.int64())],
-                                                 names=["lang", "prefix", "docs"])
-
-    return (blocks.select("lang", "source_of", "terms", "size", "doc").mapInArrow(run, "lang string, prefix binary, docs long")
-            .groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")))
-
-
-def filter_of(survivors: DataFrame):
-    """The survivors' bits as one broadcast value of FILTER_BITS / 8 bytes; the pieces are put together by Spark."""
+            for row, terms in _rows(batch):
+                alive = np.flatnonzero(terms.alive(before, held))
+                rows = max(1, len(row["source_of"]) // 2)
+                if number:
+                    code, of_term = np.unique(terms.prefix(length)[alive], return_inverse=True)
+                    slot, prefix = slots_of(code, terms.salt, bits), pa.array(code.view(np.int64))
+                else:
+                    of_term, slot = np.arange(len(alive)), terms.slots(length, bits)[alive]
+                    prefix = pa.array(terms.blob.split(b"\0") if terms.blob else [], pa.binary()).take(pa.array(alive))
+                at = np.full(len(terms.start), -1, np.int64)
+                at[alive] = of_term
+                of_posting = np.repeat(at, np.frombuffer(row["size"], "<u4"))
+                chosen = of_posting >= 0
+                pair = of_posting[chosen] * rows + np.frombuffer(row["doc"], "<u2")[chosen]
+                # Of complete terms every posting is another document; of prefixes a document may have several terms.
+                docs = np.bincount((np.unique(pair) if number else pair) // rows, minlength=len(slot))
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(slot), pa.string()), prefix, pa.array(slot, pa.int64()),
+                                                  pa.array(docs.astype(np.int64))], names=["lang", "prefix", "slot", "docs"])
+
+    kind = "long" if number else "binary"
+    return (blocks.select("lang", "source_of", "terms", "size", "doc").mapInArrow(run, f"lang string, prefix {kind}, slot long, docs long")
+            .groupBy("lang", "prefix", "slot").agg(F.sum("docs").alias("docs")))
+
+
+def filter_of(survivors: DataFrame, bits: int = FILTER_BITS):
+    """The survivors' bits as one broadcast value of ``bits`` / 8 bytes; the pieces are put together by Spark."""
     spark = survivors.sparkSession
-    pieces = (survivors.select((slot_of("lang", "prefix") + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
+    pieces = (survivors.selectExpr("slot + 1 AS slot").groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
               .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect())
-    bits = bytearray(FILTER_BITS // 8)
+    whole = bytearray(bits // 8)
     for piece in pieces:
         start = (piece["bucket"] - 1) * 4096
-        bits[start:start + 4096] = piece["bits"]
-    return spark.sparkContext.broadcast(bytes(bits))
+        whole[start:start + 4096] = piece["bits"][:bits // 8]
+    return spark.sparkContext.broadcast(bytes(whole))
 
 
 def count_terms(blocks: DataFrame, keep) -> DataFrame:
     """Rows (lang, source, term, n): occurrences of the terms whose bit is in the filter."""
     def run(batches):
-        bits = np.frombuffer(keep.value, np.uint8)
+        held = np.frombuffer(keep.value, np.uint8)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                terms = row["terms"].split(b"\0") if row["terms"] else []
-                alive = _alive(row["lang"], terms, 1 << 30, bits)
+            for row, terms in _rows(batch):
                 size = np.frombuffer(row["size"], "<u4")
-                term = np.repeat(np.arange(len(terms)), size)
-                source = np.frombuffer(row["source_of"], "<u2")[np.frombuffer(row["doc"], "<u2")]
-                chosen = np.repeat(alive, size)
+                chosen = np.repeat(terms.alive(1 << 30, held), size)
+                term = np.repeat(np.arange(len(size)), size)[chosen]
+                source = np.frombuffer(row["source_of"], "<u2")[np.frombuffer(row["doc"], "<u2")][chosen]
                 width = len(row["sources"])
-                cell, place = np.unique(term[chosen] * width + source[chosen], return_inverse=True)
-                n = np.zeros(len(cell), np.int64)
-                np.add.at(n, place, np.frombuffer(row["n"], "<u4")[chosen].astype(np.int64))
+                cell, place = np.unique(term * width + source, return_inverse=True)
+                # Float sums are exact here: a block has far fewer than 2 ** 53 words.
+                n = np.bincount(place, weights=np.frombuffer(row["n"], "<u4")[chosen], minlength=len(cell)).astype(np.int64)
+                words = pa.array(terms.blob.split(b"\0") if terms.blob else [], pa.binary())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["lang"]] * len(cell), pa.string()), pa.array([row["sources"][i] for i in (cell % width).tolist()], pa.string()),
-                    pa.array([terms[i] for i in (cell // width).tolist()], pa.binary()), pa.array(n)], names=["lang", "source", "term", "n"])
+                    pa.array([row["lang"]] * len(cell), pa.string()), pa.array(row["sources"], pa.string()).take(pa.array(cell % width)),
+                    words.take(pa.array(cell // width)), pa.array(n)], names=["lang", "source", "term", "n"])
 
     return blocks.mapInArrow(run, "lang string, source string, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
@@ -150,13 +198,13 @@ def kept_terms(documents: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFr
     documents than its prefix does. What is left of rare terms at the end is one row a term and task, and never a row a source.
     """
     blocks = settled(index_terms(documents), "terms-blocks")
-    keep, before = None, 0
+    keep, before, bits = None, 0, FILTER_BITS
     for length in (*LEVELS, 1 << 30):
-        counted = count_prefixes(blocks, length, before, keep).filter(F.col("docs") >= threshold)
+        counted = count_prefixes(blocks, length, before, keep, bits).filter(F.col("docs") >= threshold)
         survivors = settled(counted, "terms-survivors")
         if keep is not None:
             keep.unpersist()
-        keep, before = filter_of(survivors), length
+        keep, before = filter_of(survivors, bits), length
     kept = survivors.select("lang", F.col("prefix").alias("term"), "docs")
     counts = settled(count_terms(blocks, keep).join(kept.select("lang", "term"), ["lang", "term"], "left_semi"), "terms-counts")
     groups = settled(blocks.select("lang", F.explode("sources").alias("source")).distinct(), "terms-groups")
