@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Below this the tokenizer's own Unicode tables and Python's agree on every character (a test compares them). Parts of a text with
@@ -101,10 +102,8 @@ class Bpe:
             self.own_steps[i] = character == "'" or "M" in kind or max(map(ord, unicodedata.normalize("NFC", character).lower())) >= SAFE
             self.kinds[i] = 1 if kind == "L" else 2 if kind == "N" else 0 if character.isspace() and not "\x1c" <= character <= "\x1f" else 3
         vocab: dict[str, int] = model["vocab"]
-        size = 1 + max([*vocab.values(), *self.special.values()])
-        self.surface = [""] * size
-        for word, i in [*vocab.items(), *self.special.items()]:
-            self.surface[i] = word
+        self.surface = surfaces(path)
+        size = len(self.surface)
         self.symbol_id = np.full(512, -1, np.int32)
         for character, byte in self.byte_of.items():
             self.symbol_id[byte], self.symbol_id[byte + END] = vocab[character], vocab[character + "</w>"]
@@ -399,16 +398,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str], limit: int = 4 << 20):
-    """Index ranges whose texts hold about ``limit`` characters; a longer text is a range of its own."""
+@lru_cache(maxsize=2)
+def surfaces(path: str) -> list[str]:
+    """The string of each id."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pairs = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+    out = [""] * (1 + max(i for _, i in pairs))
+    for word, i in pairs:
+        out[i] = word
+    return out
+
+
+def slices(sizes: list[int], limit: int = 4 << 20):
+    """Index ranges whose texts hold about ``limit`` bytes; a longer text is a range of its own."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _sizes(column: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
 def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -421,9 +436,9 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         to_ids = encoder(tokenizer_path)
         for batch in batches:
-            names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                ids = to_ids.encode(texts[a:b])
+            names, texts = batch.column(0), batch.column(1)
+            for a, b in slices(_sizes(texts)):
+                ids = to_ids.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "n_tokens", "ids"])
 
@@ -433,20 +448,12 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """Adds ``text``, what the tokenizer decodes the ids to: the tokens' own strings, parted by spaces. Null ids give an empty text."""
     def run(batches):
-        surface = encoder(tokenizer_path).bpe.surface
+        surface = surfaces(tokenizer_path)
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            ids, start = batch.column(at).to_pylist(), 0
-            sizes = [len(i) if i else 0 for i in ids]
-            while start < len(ids):
-                stop, held = start, 0
-                while stop < len(ids) and (stop == start or held + sizes[stop] <= OUT_BYTES // 4):
-                    held += sizes[stop]
-                    stop += 1
-                texts = [" ".join(map(surface.__getitem__, np.frombuffer(i or b"", "<u4").tolist())) for i in ids[start:stop]]
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-                start = stop
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            for a, b in slices(_sizes(ids), OUT_BYTES // 4):
+                texts = [" ".join(map(surface.__getitem__, np.frombuffer(i or b"", "<u4").tolist())) for i in ids.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     from pyspark.sql.types import StringType, StructField, StructType
 
