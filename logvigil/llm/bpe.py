@@ -422,7 +422,7 @@ def slices(sizes: list[int], limit: int = 4 << 20):
         yield start, len(sizes)
 
 
-def _sizes(column: pa.Array) -> list[int]:
+def byte_sizes(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
@@ -437,7 +437,7 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
         to_ids = encoder(tokenizer_path)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            for a, b in slices(_sizes(texts)):
+            for a, b in slices(byte_sizes(texts)):
                 ids = to_ids.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  names=["doc_id", "n_tokens", "ids"])
@@ -451,7 +451,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         surface = surfaces(tokenizer_path)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            for a, b in slices(_sizes(ids), OUT_BYTES // 4):
+            for a, b in slices(byte_sizes(ids), OUT_BYTES // 4):
                 texts = [" ".join(map(surface.__getitem__, np.frombuffer(i or b"", "<u4").tolist())) for i in ids.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 

@@ -4,92 +4,34 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from logvigil.llm.bpe import byte_sizes, encoder, slices
 from logvigil.llm.common import shuffle_width
 from logvigil.session import settled
 
 CAPACITY = 4096
 END_ID = 1
-#: Words, and stems, whose ids a task remembers; a table is emptied when full, so its memory is bounded.
-REMEMBERED = 500_000
-#: A control character that the tokenizer gives one id of its own; unknown stems are encoded in one text, parted by it.
-PART = "\x01"
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str):
-    """Text to its ids as little-endian 32-bit bytes, remembering the ids of space-separated words.
-
-    The tokenizer's own steps (NFC, white space, lower case, split into letters, digits and signs) never look across a space
-    or newline, so the ids of a text are those of its words in order. A word of letters with one sign after it is its
-    lower-cased stem and that sign. The tables stay with a worker process from task to task. Texts that may hold a special token's string ("<|") or PART go to the tokenizer whole.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def direct(text: str) -> np.ndarray:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    parting = direct(PART)[0]
-    signs = {c: direct(c).tobytes() for c in ".,;:!?"}
-    words: dict[str, bytes] = {}
-    stems: dict[str, bytes] = {}
-
-    def learn(unknown: set[str]) -> None:
-        """Puts the ids of unknown words into the table, by way of their stems."""
-        split = {}
-        for word in unknown:
-            sign = word[-1:] if word[-1:] in signs and word[:-1].isalpha() else ""
-            stem = word[:-1] if sign else word
-            split[word] = (stem.lower() if stem and max(stem) < "\u0100" and stem.isalpha() else stem, sign)
-        new = list({stem for stem, _ in split.values()}.difference(stems))
-        if len(new) + len(stems) > REMEMBERED:
-            stems.clear()
-            new = list({stem for stem, _ in split.values()})
-        for at in range(0, len(new), 1000):
-            part = new[at:at + 1000]
-            ids = direct(f" {PART} ".join(part))
-            cuts = (4 * np.flatnonzero(ids == parting)).tolist()
-            raw = ids.tobytes()
-            stems.update(zip(part, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)]))))
-        words.update((word, stems[stem] + signs.get(sign, b"")) for word, (stem, sign) in split.items())
-
-    def encode(text: str) -> bytes:
-        if "<|" in text or PART in text:
-            return direct(text).tobytes()
-        parts = text.replace("\n", " ").split(" ")
-        distinct = set(parts)
-        unknown = distinct.difference(words)
-        if unknown:
-            if len(unknown) + len(words) > REMEMBERED:
-                words.clear()
-                unknown = distinct
-            learn(unknown)
-        return b"".join(map(words.__getitem__, parts))
-
-    return encode
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null text gives the end id alone."""
     def cut(batches):
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = word_encoder(tokenizer_path)
+        to_ids = encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for a, b in slices(byte_sizes(texts)):
+                encoded = to_ids.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                for doc_id, ids in zip(names[a:b], encoded):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (
                 pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
