@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "logvigil", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,14 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes a frame that several later steps read to the shared folder and reads it back.
+def settled(df: DataFrame, name: str, *partition_by: str, reader: SparkSession | None = None) -> DataFrame:
+    """Writes a frame that several later steps read to the shared folder and reads it back, in another session if one is given.
 
     The table survives executor loss, is computed once and is pruned by column on every later read.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/logvigil/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+#: Rows of a few hundred bytes that are sent to every task at most; larger tables are joined by shuffles.
+SMALL_ROWS = 100_000
+
+
+def counted_small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast only if its counted rows are within the limit."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
 def settled_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -63,7 +73,8 @@ def settled_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame,
     return table, observed.get
 
 
-def side_by_side(*jobs: Callable):
-    """Results of independent Spark jobs submitted together, so that short stages overlap."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [future.result() for future in [pool.submit(job) for job in jobs]]
+def side_by_side(*jobs: Callable, at_once: int | None = None):
+    """Results of independent Spark jobs submitted together, so that short stages overlap; their threads carry the caller's job group."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPoolExecutor(at_once or len(jobs)) as pool:
+        return [future.result() for future in [pool.submit(inherit(job)) for job in jobs]]

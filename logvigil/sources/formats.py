@@ -10,12 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from logvigil import session
 from logvigil.config import MINUTE, Thresholds
 from logvigil.functions.net import clean_ip
 from logvigil.functions.timing import EPOCH_NTZ
-from logvigil.operators.intervals import with_previous, with_running_sum
-from logvigil.session import settled
-from logvigil.sources.text import binary_files, cut_lines, list_files, number_lines, scan_lines, unique_names
+from logvigil.operators.intervals import with_running_sum
+from logvigil.session import counted_small, settled, settled_with
+from logvigil.sources.text import VOTING_LINES, cut_lines, file_heads, head_lines, is_binary_head, list_files, numbered_lines, scan_lines, unique_names
 
 # The line patterns, in the notation of Spark's regex engine.
 AUTH_LINE = (r"(?U)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\S+)\s+([^\s:\[]+)(?:\[\d+\])?:\s?"
@@ -48,8 +49,8 @@ EVENT_NAMES = {
 }
 SUPPORTED = "syslog lines of authentication services; access logs in the combined format; one JSON object per line with a time, an address, a user or an event"
 HTTP = "struct<method:string,path:string,status:int,bytes:bigint,ua:string>"
-YEAR_CHUNK = 1_000_000
-VOTING_LINES = 50
+YEAR_CHUNK = 65_536
+HALF_YEAR = 181 * 24 * 60 * MINUTE
 
 
 def _month(name: str) -> str:
@@ -104,18 +105,46 @@ def detect_formats(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> D
 # --- Syslog authentication lines (S5, S8, F3) -----------------------------------------------------
 
 
+def year_turns(times: DataFrame) -> DataFrame:
+    """``file, line_no`` of the lines where a year begins, among ``file, line_no, year_us`` of all good lines.
+
+    A year begins where time falls back more than 180 whole days behind the last good line. Chunks of lines are folded to their
+    first, last, lowest and highest time before anything is moved. A turn between chunks follows from these; inside a chunk
+    there can only be one if its times lie half a year apart, and only such chunks' times are ordered.
+    """
+    chunked = times.withColumn("chunk", F.expr(f"line_no div {YEAR_CHUNK}"))
+    spans = chunked.groupBy("file", "chunk").agg(
+        F.min("line_no").alias("line_no"), F.min_by("year_us", "line_no").alias("first_us"), F.max_by("year_us", "line_no").alias("last_us"),
+        (F.max("year_us") - F.min("year_us") >= HALF_YEAR).alias("wide"))
+    before = F.lag("last_us").over(Window.partitionBy("file").orderBy("chunk"))
+    between = spans.withColumn("before", before).filter(F.col("before") - F.col("first_us") >= HALF_YEAR).select("file", "line_no")
+    wide = spans.filter("wide").select("file", "chunk")
+    above = F.lag("year_us").over(Window.partitionBy("file", "chunk").orderBy("line_no"))
+    inside = (chunked.join(wide, ["file", "chunk"]).withColumn("above", above)
+              .filter(F.col("above") - F.col("year_us") >= HALF_YEAR).select("file", "line_no"))
+    return between.unionByName(inside)
+
+
 def with_year(lines: DataFrame, cfg: Thresholds) -> DataFrame:
-    """Adds ``year`` to rows with ``file, line_no, year_us`` (time within a common year, null if malformed).
+    """Adds ``turned`` and ``year`` to rows with ``file, line_no, year_us`` (time within a common year, null if malformed).
 
-    The year grows by one where time falls back more than 180 whole days behind the last good line. A
-    file may be one huge source, so it is walked in chunks of lines with the state carried between them.
+    A file has few turns of the year, so rows stay where they are and count the turns up to their line in a list per
+    file. Only where damaged files hold more turns than may be sent to every task are all times ordered, and joined to the rows.
     """
-    chunked = lines.withColumn("chunk", F.expr(f"line_no div {YEAR_CHUNK}"))
-    rows = with_previous(chunked, ["file"], "chunk", ["line_no"], "year_us", "year_us_before")
-    turned = F.when(F.col("year_us_before") - F.col("year_us") >= 181 * 24 * 60 * MINUTE, 1).otherwise(0).cast("bigint")
-    rows = with_running_sum(rows.withColumn("turned", turned), ["file"], "chunk", ["line_no"], "turned", "turns")
-    return (rows.withColumn("year", (F.col("turns") + cfg.default_year).cast("int"))
-            .drop("chunk", "year_us_before", "turns"))
+    times = settled(lines.filter("year_us IS NOT NULL").select("file", "line_no", "year_us"), "year-times")
+    turns, counted = settled_with(year_turns(times), "year-turns", F.count("*").alias("n"))
+    found = counted["n"]
+    if not found:
+        return lines.withColumn("turned", F.lit(0)).withColumn("year", F.lit(cfg.default_year))
+    if found <= session.SMALL_ROWS:
+        listed = turns.groupBy("file").agg(F.sort_array(F.collect_list("line_no")).alias("turns"))
+        rows = lines.join(F.broadcast(listed), "file", "left")
+        return (rows.withColumn("turned", F.expr("CAST(coalesce(array_contains(turns, line_no), false) AS INT)"))
+                .withColumn("year", F.expr(f"{cfg.default_year} + coalesce(size(filter(turns, t -> t <= line_no)), 0)")).drop("turns"))
+    marked = times.join(turns.withColumn("turned", F.lit(1).cast("bigint")), ["file", "line_no"], "left").na.fill(0, ["turned"])
+    summed = with_running_sum(marked.withColumn("chunk", F.expr(f"line_no div {YEAR_CHUNK}")), ["file"], "chunk", ["line_no"], "turned", "turns")
+    return (lines.join(summed.select("file", "line_no", "turned", "turns"), ["file", "line_no"], "left")
+            .withColumn("year", (F.col("turns") + cfg.default_year).cast("int")).drop("turns"))
 
 
 def parse_auth(lines: DataFrame, cfg: Thresholds) -> DataFrame:
@@ -282,15 +311,14 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFrame:
-    """Parses each file by its format. Lines of files whose format is null are kept as not parsed.
+    """Parses numbered lines, each file by its format. Lines of files whose format is null are kept as not parsed.
 
-    ``formats`` has ``file, format`` of the files to take, and the ``name`` to show them by where it is not
-    ``file``. The lines are stored by format once, so each parser reads its own lines and nothing else.
+    The lines are stored by format once, so each parser reads its own lines and nothing else.
     """
-    placed = lines.join(formats, "file")
-    if "name" in formats.columns:
-        placed = placed.withColumn("file", F.col("name")).drop("name")
-    known = settled(placed, "lines", "format")
+    return _parse_stored(settled(lines.join(formats, "file"), "lines", "format"), cfg)
+
+
+def _parse_stored(known: DataFrame, cfg: Thresholds) -> DataFrame:
     each = [parser(known.filter(F.col("format") == f).drop("format")) for f, parser in (
         ("auth", lambda d: parse_auth(d, cfg)), ("access", parse_access), ("jsonl", parse_jsonl))]
     none = F.lit(None).cast("string")
@@ -300,22 +328,25 @@ def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFr
 
 
 def known_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, name, size, is_binary, format`` per file: unique name, judgement of its head, vote."""
-    votes = detect_formats(cut_lines(scan_lines(spark, paths)).filter("raw != ''"), ("block", "pos", "part"))
-    binary = binary_files(spark, paths).withColumn("is_binary", F.lit(True))
-    return (unique_names(list_files(spark, paths)).join(binary, "file", "left").join(votes, "file", "left")
+    """``file, name, size, is_binary, format`` per file: unique name, judgement of its head, vote (S3, S4, S10). Reads heads only."""
+    files = settled(list_files(spark, paths), "files-listed")
+    heads = file_heads(spark, files)
+    judged = heads.select("file", is_binary_head(F.col("head")).alias("is_binary")).join(detect_formats(head_lines(heads), ("n",)), "file", "left")
+    return (unique_names(files).join(judged, "file", "left")
             .select("file", "name", "size", F.coalesce("is_binary", F.lit(False)).alias("is_binary"),
-                    F.when(F.col("is_binary").isNull(), F.col("format")).alias("format")))
+                    F.when(~F.coalesce("is_binary", F.lit(False)), F.col("format")).alias("format")))
 
 
 def ingest(spark: SparkSession, paths: list[str], cfg: Thresholds, files: DataFrame | None = None) -> DataFrame:
     """Parsed lines of text files under their unique names; lines of binary files are left out.
 
-    ``files`` are those of ``known_files``, for callers that have written them already.
+    ``files`` are those of ``known_files``, for callers that have written them already. The lines are written by format where they
+    are read, and numbered and parsed from there; no text is shuffled.
     """
     files = settled(known_files(spark, paths), "files") if files is None else files
-    text_files = files.filter("NOT is_binary").select("file", "name", "format")
-    return parse_lines(number_lines(scan_lines(spark, paths)), text_files, cfg)
+    text_files = counted_small(files.filter("NOT is_binary").select("file", "name", "format"))
+    cut = cut_lines(scan_lines(spark, paths)).join(text_files, "file").select(F.col("name").alias("file"), "block", "pos", "raw", "format")
+    return _parse_stored(numbered_lines(settled(cut, "lines", "format")), cfg)
 
 
 def events_of(parsed: DataFrame) -> DataFrame:

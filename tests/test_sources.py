@@ -1,11 +1,13 @@
 """Line numbering, detection and the three parsers on literal lines."""
 
 import random
+import re
 
 import pytest
 
 from helpers import lines, micros, ssh_failures
 from datetime import datetime
+from logvigil import session
 from logvigil.config import DEFAULT
 from logvigil.sources import formats, text
 
@@ -53,6 +55,64 @@ def test_su_groups_and_informational_lines(spark):
     assert [rows[n].parsed for n in range(1, 12)] == [True] * 8 + [False] * 3
 
 
+def moving_exchanges(df):
+    """Inputs of the plan's exchanges, other than broadcasts, that hold whole lines."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = plan.split("\n\n")
+    return [node for node in nodes if re.match(r"\(\d+\) Exchange", node.strip()) and "raw#" in node]
+
+
+def test_text_is_not_shuffled(spark, tmp_path):
+    stamps = ["Dec 31 23:59:50", "Jan  1 00:00:05", "Jul  1 00:00:00"] * 2
+    (tmp_path / "auth.log").write_text("\n".join(f"{s} w sshd[1]: Invalid user a from 10.0.0.1" for s in stamps))
+    (tmp_path / "access.log").write_text("\n".join(ACCESS))
+    parsed = formats.ingest(spark, [str(tmp_path)], DEFAULT)
+    assert {datetime.fromtimestamp(r.us / 1e6).year for r in parsed.filter("file = 'auth.log'").collect()} == {2026, 2027, 2028}
+    assert "raw" in parsed.columns and moving_exchanges(parsed) == []
+
+
+def test_many_blocks_and_turns_are_joined_by_shuffles(spark, monkeypatch):
+    """Beyond the bound of what is sent to every task, the same rows come by the other way."""
+    rng = random.Random(11)
+    texts = [f"{m} {d:2d} 00:00:0{rng.randrange(10)} w sshd[1]: x" if rng.random() < 0.9 else "garbage" for m, d in zip(
+        rng.choices(["Jan", "Feb", "Jul", "Dec"], k=400), rng.choices(range(1, 32), k=400))]
+    monkeypatch.setattr(formats, "YEAR_CHUNK", 16)
+    near = parsed_auth(spark, texts)
+    monkeypatch.setattr(session, "SMALL_ROWS", 0)
+    far = formats.parse_auth(lines(spark, texts), DEFAULT)
+    assert moving_exchanges(far) and {r.line_no: r for r in far.collect()} == near
+    year, last = DEFAULT.default_year, None
+    for n, line in enumerate(texts, start=1):
+        month, day = line[:3], int(line[4:6]) if line != "garbage" else 0
+        if line == "garbage" or (month == "Feb" and day > 29):
+            assert near[n].us is None
+            continue
+        at = micros(2023, ["Jan", "Feb", "", "", "", "", "Jul", "", "", "", "", "Dec"].index(month) + 1, min(day, 28) if month == "Feb" else day)
+        at += (int(line[14]) + (86400 if month == "Feb" and day == 29 else 0)) * 1_000_000
+        year += last is not None and last - at >= 181 * 86400 * 1_000_000
+        last = at
+        if near[n].us is not None:
+            assert datetime.fromtimestamp(near[n].us / 1e6).year == year
+
+
+def test_heads_do_not_read_whole_files(spark, tmp_path):
+    (tmp_path / "long.log").write_text("\n".join(AUTH * 10) + "\n" + "x y z\n" * 4_000_000)
+    (tmp_path / "short.log").write_text("\n".join(ACCESS))
+    (tmp_path / "odd [1] {a}* +%41.log").write_text("\n" * 1_500_000 + "\n".join(AUTH) + "\n" + "x\n" * 1_000_000)
+    context = spark.sparkContext
+    context.setJobGroup("heads", "heads")
+    try:
+        heads = text.file_heads(spark, text.list_files(spark, [str(tmp_path)]))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    store = context._jsc.sc().statusStore()
+    stages = [s for job in context.statusTracker().getJobIdsForGroup("heads") for s in context.statusTracker().getJobInfo(job).stageIds]
+    assert 0 < sum(store.lastStageAttempt(s).inputBytes() for s in stages) < 4 << 20 < (tmp_path / "long.log").stat().st_size // 4
+    votes = {r.file.rsplit("/", 1)[1][:4]: r.format for r in formats.detect_formats(text.head_lines(heads), ("n",)).collect()}
+    assert votes == {"long": "auth", "shor": "access", "odd%": "auth"}
+    assert all(len(r.lines) <= 50 and len(r.head) <= 8192 for r in heads.collect())
+
+
 def test_year_rolls_over_and_chunks_do_not_matter(spark, monkeypatch):
     texts = ["Dec 31 23:59:50 w sshd[1]: a", "garbage", "Jan  1 00:00:05 w sshd[2]: b", "Jun 30 00:00:00 w sshd[2]: b",
              "Dec 31 00:00:05 w sshd[2]: b", "Feb 28 00:00:00 w sshd[2]: c", "Feb 29 00:00:00 w sshd[2]: c", "Dec 30 00:00:00 w sshd[2]: c",
@@ -142,7 +202,7 @@ def test_heads_of_files(spark, tmp_path):
              "windows": b"MZ\n\nabc", "second": b"a\nMZ", "empty": b""}
     for name, content in cases.items():
         (tmp_path / name).write_bytes(content)
-    got = {r.file.rsplit("/", 1)[1] for r in text.binary_files(spark, [str(tmp_path)]).collect()}
+    got = {r.name for r in formats.known_files(spark, [str(tmp_path)]).collect() if r.is_binary}
     rows = spark.createDataFrame([(n, bytearray(c)) for n, c in cases.items()], "file string, content binary")
     assert got == {r.file for r in text.judge_uploads(rows).collect() if r.is_binary} == {"gif", "controls", "nul", "early", "windows"}
 
