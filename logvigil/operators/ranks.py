@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logvigil.session import settled
+from logvigil.session import settled_with
 
-DIGIT_BITS = 16
+DIGIT_BITS = 18
 
 
 def exact_median(rows: DataFrame, column: str) -> float | None:
     """The middle value, or the mean of the two middle values.
 
     Spark's ``median`` keeps every distinct value in one task. Here the two middle ranks are narrowed
-    down 16 bits at a time: a round counts at most 65,536 digits per rank and hands back two rows.
+    down 18 bits at a time: a round counts at most 262,144 digits per rank and hands back two rows.
     """
-    values = settled(rows.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL"), "totals")
-    size = values.agg(F.count("*").alias("n"), F.max("v").alias("top")).first()
+    values, size = settled_with(rows.select(F.col(column).cast("bigint").alias("v")).filter("v IS NOT NULL"), "totals",
+                                F.count("*").alias("n"), F.max("v").alias("top"))
     if not size["n"]:
         return None
     # (rank among the values sharing the prefix, prefix) of both middles.

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logvigil.config import HOUR, Thresholds
@@ -21,7 +20,7 @@ from logvigil.functions.timing import cell_of, clock, floor_div, hour_of_day, wh
 from logvigil.operators.baseline import judged_logins, known_addresses, normal_hours
 from logvigil.operators.intervals import burst_cells, burst_rows, numbered, pair_in_range, trailing_stats
 from logvigil.operators.ranks import exact_median
-from logvigil.session import settled, side_by_side
+from logvigil.session import settled, settled_with, side_by_side
 
 # Rule, name, severity, points, stage, tactic, technique.
 RULES = [
@@ -363,17 +362,33 @@ def transfer_threshold(web: DataFrame, cfg: Thresholds) -> tuple[float, float]:
     return median, float(min(cfg.r11_abs_bytes, max(cfg.r11_median_multiplier * median, cfg.r11_min_bytes)))
 
 
-def _separated(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Keeps the first instant, then each next one more than ``width`` after the last kept."""
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("us")
-        kept, last = [], None
-        for us in group["us"].to_numpy():
-            take = last is None or us - last > width
-            last = us if take else last
-            kept.append(take)
-        return group[kept]
-    return keep
+def _stored_transfers(events: DataFrame) -> DataFrame:
+    """The transfers, written once; sizes as 64-bit numbers where their sum fits, as it does but for damaged logs."""
+    web, seen = settled_with(transfers(events), "transfers", F.sum(F.abs(F.col("bytes").cast("decimal(38,0)"))).alias("total"))
+    return web.withColumn("bytes", F.col("bytes").cast("bigint")) if (seen["total"] or 0) < 2**62 else web
+
+
+def separated(starts: DataFrame, key: str, width: int) -> DataFrame:
+    """Of distinct instants per key: the first, then each next one more than ``width`` after the last kept; ``key, us``.
+
+    The one kept after an instant would be the first beyond its window. Instants at most a window apart from the one before reach it
+    within two windows, so a minimum per probe finds it without ordering a key; all others have a pause before them and are kept in any
+    case. What is kept are these and all that links lead to from them; links are doubled until none is left, in as many rounds as the
+    longest chain has binary digits.
+    """
+    ahead, near = width - 1, [key, "us"]
+    links = (trailing_stats(starts, starts.selectExpr(key, f"us + {2 * width}L AS us"), [key], ahead, {"next": ("min", "us")})
+             .filter("next IS NOT NULL").selectExpr(key, f"us - {2 * width}L AS us", "next"))
+    close = (trailing_stats(starts, starts.selectExpr(key, "us - 1 AS us"), [key], ahead, {"n": ("sum", "1L")})
+             .filter("n IS NOT NULL").selectExpr(key, "us + 1 AS us"))
+    kept = starts.select(*near).join(close, near, "left_anti")
+    count = F.count("*").alias("n")
+    links, seen = settled_with(links, "transfer-links", count)
+    while seen["n"]:
+        kept = settled(kept.unionByName(kept.join(links, near).select(key, F.col("next").alias("us"))).distinct(), "transfer-kept")
+        onward = links.select(key, F.col("us").alias("next"), F.col("next").alias("after"))
+        links, seen = settled_with(links.join(onward, [key, "next"]).select(key, "us", F.col("after").alias("next")), "transfer-links", count)
+    return kept
 
 
 def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
@@ -383,13 +398,13 @@ def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
     ``sum(i..j) > threshold``. A burst always starts at such a row and lasts one window from there, and
     the scan restarts right behind it. So the bursts are: the earliest start, then again the earliest
     start more than a window after the last one. Prefix sums per (address, window cell) find the starts;
-    only their distinct instants go through the sequential choice.
+    links between their distinct instants make the choice.
     """
     width, spark = cfg.r11_window, events.sparkSession
-    web = transfers(events)
+    web = _stored_transfers(events)
     median, limit = transfer_threshold(web, cfg)
     threshold = f"{limit!r}D"
-    starts = spark.sql(f"""
+    starts = settled(spark.sql(f"""
         WITH rows AS (SELECT *, {cell_of('us', width)} AS cell FROM {{web}}),
         -- A window spans at most two cells, so pairs of quiet cells need no look at their rows.
         loud AS (
@@ -411,14 +426,9 @@ def r11_large_transfer(events: DataFrame, cfg: Thresholds) -> Finding:
             SELECT src_ip, mark, end_us, last(row, true) OVER (
                 PARTITION BY src_ip, block ORDER BY total, mark ROWS UNBOUNDED PRECEDING) AS start FROM totals)
         SELECT src_ip, start.us AS us, min(start) AS start FROM found
-        WHERE mark = 0 AND end_us - start.us <= {width}L GROUP BY src_ip, start.us""", web=web)
-    runs = spark.sql(f"""
-        SELECT src_ip, sum(CASE WHEN gap > {width}L THEN 1L ELSE 0L END) OVER (PARTITION BY src_ip ORDER BY us) AS run,
-               us, start.file AS file, start.line_no AS line_no, start.event_id AS event_id
-        FROM (SELECT *, us - lag(us) OVER (PARTITION BY src_ip ORDER BY us) AS gap FROM {{starts}})""", starts=starts)
-    kept = runs.groupBy("src_ip", "run").applyInPandas(_separated(width), runs.schema)
-    bursts = settled(kept.selectExpr("src_ip", "struct(us, file, line_no, event_id) AS start", "us AS span_from",
-                                     f"us + {width}L AS span_to"), "transfer-bursts")
+        WHERE mark = 0 AND end_us - start.us <= {width}L GROUP BY src_ip, start.us""", web=web), "transfer-starts")
+    bursts = settled(starts.join(separated(starts, "src_ip", width), ["src_ip", "us"]).selectExpr(
+        "src_ip", "start", "us AS span_from", f"us + {width}L AS span_to"), "transfer-bursts")
     inside = (pair_in_range(web, bursts, ["src_ip"], width)
               .filter("struct(us, file, line_no) >= struct(start.us, start.file, start.line_no)"))
     spans = (inside.groupBy("src_ip", "start").agg(*_span(), F.sum("bytes").alias("sent"))

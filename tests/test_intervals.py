@@ -79,6 +79,25 @@ def test_exact_median(spark, values):
     assert exact_median(df, "v") == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
 
 
+@pytest.mark.parametrize("seed, pause", [(1, 3), (2, 9), (3, 40)])
+def test_separated_instants(spark, seed, pause):
+    """Chains of many links, pauses, and a key with nearly all instants, without a group in Python."""
+    rng, rows = random.Random(seed), set()
+    for key, n in (("hot", 900), ("b", 20), ("c", 1)):
+        at = 0
+        for _ in range(n):
+            at += rng.choice([1, 2, 3, pause, 10, 11])
+            rows.add((key, at))
+    got = rules.separated(spark.createDataFrame(sorted(rows), "k string, us bigint"), "k", 10)
+    expected = set()
+    for key in {k for k, _ in rows}:
+        rest = sorted(us for k, us in rows if k == key)
+        while rest:
+            expected.add((key, rest[0]))
+            rest = [us for us in rest if us > rest[0] + 10]
+    assert {tuple(r) for r in got.collect()} == expected
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_large_transfers_equal_a_replay(spark, seed):
     rng = random.Random(seed)
