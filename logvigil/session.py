@@ -75,6 +75,6 @@ def settled_with(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame,
 
 def side_by_side(*jobs: Callable, at_once: int | None = None):
     """Results of independent Spark jobs submitted together, so that short stages overlap; their threads carry the caller's job group."""
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
     with ThreadPoolExecutor(at_once or len(jobs)) as pool:
         return [future.result() for future in [pool.submit(inherit(job)) for job in jobs]]

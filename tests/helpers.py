@@ -34,35 +34,27 @@ def ssh_failures(start, ip, n, gap_s, user="root"):
 
 
 def bursts(times, window, threshold, values=None):
-    """Direct definition of a threshold burst: index lists, by walking the sorted times once."""
-    found, start = [], 0
-    j = 0
-    while j < len(times):
-        inside = [i for i in range(start, j + 1) if times[j] - times[i] <= window]
-        size = len(inside) if values is None else len({values[i] for i in inside})
-        if size >= threshold:
-            end = j
-            while end + 1 < len(times) and times[end + 1] - times[end] <= window:
-                end += 1
-            found.append(list(range(inside[0], end + 1)))
-            start = j = end + 1
-        else:
-            j += 1
+    """Definition of threshold bursts as index lists: of each session without a longer gap than the window, all from one window
+    before the first instant whose trailing window is full."""
+    cuts = [i for i in range(1, len(times)) if times[i] - times[i - 1] > window]
+    found = []
+    for session in (range(a, b) for a, b in zip([0, *cuts], [*cuts, len(times)])):
+        full = [times[j] for j in session
+                if len({values[i] if values else i for i in session if 0 <= times[j] - times[i] <= window}) >= threshold]
+        if full:
+            found.append([i for i in session if times[i] >= min(full) - window])
     return found
 
 
 def transfers(rows, window, threshold):
-    """Direct simulation of the transfer rule on (us, bytes): grow, drop what is old, trim, extend, start afresh."""
-    found, held, j = [], [], 0
-    while j < len(rows):
-        held.append(j)
-        held = [i for i in held if rows[j][0] - rows[i][0] <= window]
-        if sum(rows[i][1] for i in held) > threshold:
-            while len(held) > 1 and sum(rows[i][1] for i in held[1:]) > threshold:
-                held = held[1:]
-            while j + 1 < len(rows) and rows[j + 1][0] - rows[held[0]][0] <= window:
-                j += 1
-            found.append(list(range(held[0], j + 1)))
-            held = []
-        j += 1
+    """Definition of the transfer rule on (us, bytes): a burst may start at the last row from which some row's sum, within a window,
+    exceeds the threshold; bursts last a window, and one counts if it starts beyond the window of the last that counts."""
+    def heavy(i, j):
+        return rows[j][0] - rows[i][0] <= window and sum(size for _, size in rows[i:j + 1]) > threshold
+
+    starts = {max(from_) for j in range(len(rows)) if (from_ := [i for i in range(j + 1) if heavy(i, j)])}
+    found = []
+    for i in sorted(starts):
+        if not found or rows[i][0] > rows[found[-1][0]][0] + window:
+            found.append([k for k in range(i, len(rows)) if rows[k][0] <= rows[i][0] + window])
     return found
