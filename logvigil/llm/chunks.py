@@ -101,8 +101,8 @@ def remove_chunks(documents: DataFrame) -> DataFrame:
 
 def _seeded(batches):
     for batch in batches:
-        ids, starts, lengths, digests = [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids, keys, starts, lengths, digests = [], [], [], [], []
+        for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             raw = text.as_py() or b""
             at = 0
             for end in seed_ends(np.frombuffer(raw, np.uint8)).tolist():
@@ -110,43 +110,45 @@ def _seeded(batches):
                 before = min(at, WINDOW)
                 name = raw[at - before:end] + bytes([255 if len(raw) < LEAST else before])
                 ids.append(doc_id)
+                keys.append(key)
                 starts.append(at)
                 lengths.append(end - at)
                 digests.append(hashlib.blake2b(name, digest_size=16).digest())
                 at = end
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
-                                          pa.array(digests, pa.binary())], names=["doc_id", "start", "length", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                                          pa.array(digests, pa.binary())], names=["doc_id", "key", "start", "length", "digest"])
 
 
 def _runs(seeds: list[dict]) -> list[list[int]]:
-    """Seeds that follow each other here and in one source: [start, end, source id, its start, its end, seeds]."""
+    """Seeds that follow each other here and in one source row: [start, end, (source id, its key), its start, its end, seeds]."""
     out = []
     for s in sorted(seeds, key=lambda s: s["start"]):
-        if out and out[-1][1:5:3] == [s["start"], s["src_start"]] and out[-1][2] == s["src"]:
+        if out and out[-1][1:5:3] == [s["start"], s["src_start"]] and out[-1][2] == (s["src"], s["src_key"]):
             out[-1][1] += s["length"]
             out[-1][4] += s["length"]
             out[-1][5] += 1
         else:
-            out.append([s["start"], s["start"] + s["length"], s["src"], s["src_start"], s["src_start"] + s["length"], 1])
+            out.append([s["start"], s["start"] + s["length"], (s["src"], s["src_key"]), s["src_start"], s["src_start"] + s["length"], 1])
     return out
 
 
 def _ends_of_runs(batches):
     """What stands before (side 0) and after (side 1) each run's source is asked for."""
     for batch in batches:
-        rows = [row for doc_id, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = [row for doc_id, key, gone in zip(*(c.to_pylist() for c in batch.columns))
                 for start, end, src, src_start, src_end, _ in _runs(gone)
-                for row in ((doc_id, start, 0, src, src_start), (doc_id, end, 1, src, src_end))]
-        cols = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()])],
-                                         names=["doc_id", "at", "side", "src", "src_at"])
+                for row in ((doc_id, key, start, 0, *src, src_start), (doc_id, key, end, 1, *src, src_end))]
+        cols = list(zip(*rows)) if rows else [()] * 7
+        long = pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [long, long, long, pa.int32(), long, long, long])],
+                                         names=["doc_id", "key", "at", "side", "src", "src_key", "src_at"])
 
 
 def _surroundings(batches):
     """Bytes beside the places asked for: as far as a common passage can go without a further common seed."""
     for batch in batches:
         rows = []
-        for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for doc_id, key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             if not places:
                 continue
             raw = text.as_py() or b""
@@ -159,10 +161,10 @@ def _surroundings(batches):
                 else:
                     near = ends[max(np.searchsorted(ends, at - 2 * (SPREAD + WINDOW), side="right") - 2, 0)]
                     body = raw[near:at]
-                rows.append((doc_id, at, place["side"], body))
-        cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.binary()])],
-                                         names=["src", "src_at", "side", "body"])
+                rows.append((doc_id, key, at, place["side"], body))
+        cols = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])],
+                                         names=["src", "src_key", "src_at", "side", "body"])
 
 
 def _alike(a: bytes, b: bytes) -> int:
@@ -200,25 +202,29 @@ def remove_passages(documents: DataFrame) -> DataFrame:
 
     A seed meets its first equal. Seeds that follow each other in both places form a run; its ends are compared with what
     stands beside its source, and the passage goes if it has LEAST bytes or more. Every removed byte stands at an earlier
-    place, so its first occurrence is kept. A passage of 222 bytes holds a seed for certain, a shorter one by chance; it grows as far as it
-    agrees with the document its seed stood in first.
+    place, so its first occurrence is kept. A passage is found if it holds a whole seed, and grows as far as it agrees with the document
+    its seed stood in first. Where cuts fall by chance, passages of 200 bytes and more were found in 60 of 60 cases, of 150 bytes in 45,
+    of 100 in 5; periodic texts may have no cuts where they agree and then stay.
 
-    Texts under LEAST bytes go as a whole, if an earlier text is the same. Null text: empty. Null doc_id: left whole. Rows of one doc_id should be
-    equal. Empty table: no rows. n_chunks_removed counts the seeds. Further columns are not read.
+    Texts under LEAST bytes go as a whole, if an earlier text is the same. Null text: empty. Null doc_id: left whole. Rows of one doc_id
+    with different texts are documents of their own, in order of a hash of the text; equal rows are one document and have equal results.
+    Empty table: no rows. n_chunks_removed counts the seeds. Further columns are not read.
     """
-    docs = documents.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    rows = settled(docs.filter("doc_id IS NOT NULL").mapInArrow(_seeded, "doc_id long, start long, length long, digest binary"), "seeds")
-    first = settled(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
-                    .select("digest", F.col("first.doc_id").alias("src"), F.col("first.start").alias("src_start")), "seeds-first")
-    again = rows.join(first.hint("merge"), "digest").filter("doc_id <> src OR start <> src_start")
-    gone = settled(again.select("doc_id", "start", "length", "src", "src_start").distinct().groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "length", "src", "src_start")).alias("gone")), "seeds-gone")
-    asked = settled(gone.mapInArrow(_ends_of_runs, "doc_id long, at long, side int, src long, src_at long"), "seeds-asked")
-    places = asked.select("src", "src_at", "side").distinct().groupBy(F.col("src").alias("doc_id")).agg(
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = documents.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    row, source = ["doc_id", "key"], ["src", "src_key"]
+    rows = settled(docs.filter("doc_id IS NOT NULL").mapInArrow(_seeded, "doc_id long, key long, start long, length long, digest binary"), "seeds")
+    first = settled(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(*row, "start")).alias("first")).filter("n > 1")
+                    .selectExpr("digest", "first.doc_id AS src", "first.key AS src_key", "first.start AS src_start"), "seeds-first")
+    again = rows.join(first.hint("merge"), "digest").filter("NOT (doc_id = src AND key = src_key AND start = src_start)")
+    gone = settled(again.select(*row, "start", "length", *source, "src_start").distinct().groupBy(*row).agg(
+        F.collect_list(F.struct("start", "length", *source, "src_start")).alias("gone")), "seeds-gone")
+    asked = settled(gone.mapInArrow(_ends_of_runs, "doc_id long, key long, at long, side int, src long, src_key long, src_at long"), "seeds-asked")
+    places = asked.select(*source, "src_at", "side").distinct().groupBy(F.col("src").alias("doc_id"), F.col("src_key").alias("key")).agg(
         F.collect_list(F.struct("src_at", "side")).alias("places"))
     # Both joins place the texts alike, as left joins of the same columns, so one shuffle of them serves both.
-    bodies = docs.join(places.hint("merge"), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
-        _surroundings, "src long, src_at long, side int, body binary").groupBy("src", "src_at", "side").agg(F.first("body").alias("body"))
-    beside = asked.join(bodies.hint("merge"), ["src", "src_at", "side"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "side", "body")).alias("beside"))
-    return docs.join(gone.join(beside.hint("merge"), "doc_id", "left").hint("merge"), "doc_id", "left").select("doc_id", "text", "gone", "beside").mapInArrow(
+    bodies = docs.join(places.hint("merge"), row, "left").select(*row, "text", "places").mapInArrow(
+        _surroundings, "src long, src_key long, src_at long, side int, body binary").groupBy(*source, "src_at", "side").agg(F.first("body").alias("body"))
+    beside = asked.join(bodies.hint("merge"), [*source, "src_at", "side"]).groupBy(*row).agg(F.collect_list(F.struct("at", "side", "body")).alias("beside"))
+    return docs.join(gone.join(beside.hint("merge"), row, "left").hint("merge"), row, "left").select("doc_id", "text", "gone", "beside").mapInArrow(
         _passages_out, "doc_id long, n_bytes long, n_removed long, n_chunks_removed long, kept_sha256 string")
