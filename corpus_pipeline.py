@@ -60,7 +60,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Classifier, tokenizer and hashed draws have no SQL form; tests hold run() against its stages' plain definitions.
+#: Classifier, tokenizer and hashed draws have no SQL form. Tests check single stages; run() itself is only tested on an empty table.
 ORACLE_SQL = None
 
 
