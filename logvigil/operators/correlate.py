@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logvigil.config import HOUR, Thresholds
+from logvigil.config import Thresholds
 from logvigil.functions.net import subnet
 from logvigil.functions.timing import floor_div
-from logvigil.operators.intervals import UNBOUNDED, numbered, trailing_stats
+from logvigil.operators.intervals import UNBOUNDED, numbered, overlapping, trailing_stats
 from logvigil.operators.scoring import entity_rows, scored
 from logvigil.session import settled, settled_with
 
@@ -73,29 +73,27 @@ def pivot_links(members: DataFrame, cells: DataFrame, logins: DataFrame, window:
     """
     hulls = (cells.filter("kind = 'ip'").groupBy("value", "cluster_us").agg(F.min("lo").alias("ip_lo"), F.max("hi").alias("ip_hi"))
              .select(F.col("value").alias("src_ip"), F.col("cluster_us").alias("ip_cluster"), "ip_lo", "ip_hi"))
-    reach = F.sequence(floor_div(F.col("ip_lo") - window, window), floor_div(F.col("ip_hi") + window, window))
-    near_ip = hulls.withColumn("at", F.explode(reach))
-    covered = F.explode(F.sequence(floor_div(F.col("lo"), window), floor_div(F.col("hi"), window)))
-    in_reach = F.greatest(F.lit(0), F.col("ip_lo") - F.col("hi"), F.col("lo") - F.col("ip_hi")) <= window
-    pairs = logins.withColumn("login_cell", floor_div(F.col("login_us"), window))
+    pairs = settled(logins, "first-logins").withColumn("login_cell", floor_div(F.col("login_us"), window))
+    # Address clusters of each pair that reach beyond its login, widened by the window.
+    near = settled(pairs.join(hulls, "src_ip").filter(F.col("ip_hi") + window >= F.col("login_us")).select(
+        "user", "src_ip", "login_cell", "ip_cluster", (F.col("ip_lo") - window).alias("left_from"), (F.col("ip_hi") + window).alias("left_to")), "near")
     # Alerts on the user starting within one window after the login.
     points = (members.filter("kind = 'user'").withColumn("cell", floor_div(F.col("first_us"), window))
               .join(cells.filter("kind = 'user'").select("value", "cell", "cluster_us"), ["value", "cell"])
               .select(F.col("value").alias("user"), F.col("first_us").alias("us"), "last_us", "cluster_us"))
     probes = pairs.select("user", (F.col("login_us") + window).alias("us"))
     soon = (trailing_stats(points, probes, ["user"], window,
-                           {"lo": ("min", "us"), "hi": ("max", "last_us"), "user_cluster": ("min", "cluster_us")})
-            .filter("lo IS NOT NULL").withColumn("login_us", F.col("us") - window).drop("us")
-            .join(pairs, ["user", "login_us"]).withColumn("at", covered)
-            .join(near_ip, ["src_ip", "at"]).filter(in_reach))
+                           {"right_from": ("min", "us"), "right_to": ("max", "last_us"), "user_cluster": ("min", "cluster_us")})
+            .filter("right_from IS NOT NULL").withColumn("login_us", F.col("us") - window).drop("us")
+            .join(pairs.drop("login_cell"), ["user", "login_us"]).drop("login_us"))
     # And those in any later cell.
-    later_cells = cells.filter("kind = 'user'").select(
-        F.col("value").alias("user"), F.col("cell").alias("user_cell"), F.col("cluster_us").alias("user_cluster"), "lo", "hi",
-        covered.alias("at"))
-    later = (pairs.join(near_ip, "src_ip").join(later_cells, ["user", "at"])
-             .filter((F.col("user_cell") > F.col("login_cell")) & in_reach))
+    later = cells.filter("kind = 'user'").select(
+        F.col("value").alias("user"), F.col("cell").alias("user_cell"), F.col("cluster_us").alias("user_cluster"),
+        F.col("lo").alias("right_from"), F.col("hi").alias("right_to"))
     cols = ["user", "user_cluster", "src_ip", "ip_cluster"]
-    return soon.select(*cols).unionByName(later.select(*cols)).distinct()
+    at_once = overlapping(near, settled(soon, "soon"), ["user", "src_ip"], window)
+    afterwards = overlapping(near, settled(later, "later"), ["user"], window).filter("user_cell > login_cell")
+    return at_once.select(*cols).unionByName(afterwards.select(*cols)).distinct()
 
 
 def cluster_links(clustered: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -173,8 +171,7 @@ def roll_up(alerts: DataFrame, cfg: Thresholds) -> DataFrame:
     incidents = scored(alerts, ["component"], cfg, first, final=[
         F.min("first")["alert_id"].alias("first_alert_id"), present_stages(F.collect_set("stage")).alias("stages"),
         F.array_sort(F.collect_set("rule_id")).alias("rules")])
-    cell = F.struct((-F.col("risk_score")).alias("risk"), floor_div(F.col("first_us"), HOUR).alias("hour"))
-    ranked = numbered(incidents, cell, [F.desc("risk_score"), "first_us", "first_alert_id"], "incident_no")
+    ranked = numbered(incidents, [F.desc("risk_score"), "first_us", "first_alert_id"], "incident_no")
     return (ranked.withColumn("incident_id", F.concat(F.lit("inc-"), F.col("incident_no").cast("string")))
             .withColumnRenamed("first_us", "start_us").withColumnRenamed("last_us", "end_us"))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logvigil.functions.timing import cell_of, floor_div
+from logvigil.session import settled
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -129,17 +130,58 @@ def with_running_sum(rows: DataFrame, keys: Sequence[str], chunk: str, order: Se
             .withColumn(name, (F.col("local") + F.col("carry")).cast("bigint")).drop("local", "carry"))
 
 
-def numbered(rows: DataFrame, cell: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """1-based rank over the whole frame without one global sort task.
 
-    ``cell`` must grow with ``order``: rows are ranked inside their cell and shifted by the count of
-    all earlier cells. The only ungrouped window runs over one row per cell.
+    ``order`` must tell all rows apart. Ranges of it are cut by sampling, whatever the values, so no busy hour and no frequent
+    score fills a task; they are written with their number, ranked one by one and shifted by the counts of the ranges before.
     """
-    rows = rows.withColumn("rank_cell", cell)
-    before = Window.partitionBy(F.lit(0)).orderBy("rank_cell").rowsBetween(UNBOUNDED, -1)
-    offsets = (rows.groupBy("rank_cell").agg(F.count("*").alias("n"))
+    ranged = settled(rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), f"{name}-ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("range_no").rowsBetween(UNBOUNDED, -1)  # one row per range
+    offsets = (ranged.groupBy("range_no").agg(F.count("*").alias("n"))
                .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))).drop("n"))
-    local = F.row_number().over(Window.partitionBy("rank_cell").orderBy(*order))
-    return (rows.withColumn("local", local).join(offsets, "rank_cell")
+    local = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    return (ranged.withColumn("local", local).join(offsets, "range_no")
             .withColumn(name, (F.col("local") + F.col("offset")).cast("bigint"))
-            .drop("local", "offset", "rank_cell"))
+            .drop("local", "offset", "range_no"))
+
+
+def dyadic_cover(first: str, last: str, top: int) -> str:
+    """SQL for the aligned blocks of 1, 2, 4, ... cells that make up cells ``first`` to ``last``: at most two of each size.
+
+    ``top`` is the exponent of the largest block that fits the longest range.
+    """
+    steps = (f"filter(transform(sequence(0, {top}), k -> named_struct('level', k, 'l', -shiftright(-({first}), k), 'r', shiftright({last} + 1, k))), "
+             "s -> s.l < s.r)")
+    ends = ("array(named_struct('level', s.level, 'node', CASE WHEN s.l & 1 = 1 THEN s.l END), "
+            "named_struct('level', s.level, 'node', CASE WHEN s.r & 1 = 1 THEN s.r - 1 END))")
+    return f"filter(flatten(transform({steps}, s -> {ends})), n -> n.node IS NOT NULL)"
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Pairs of equal keys whose ``[left_from, left_to]`` and ``[right_from, right_to]`` share an instant, each pair once.
+
+    Two ranges overlap where one starts inside the other. A range is dealt over its dyadic cover and a start over the blocks
+    that hold it, so both take a number of rows logarithmic in the longest range, and a start meets a range in one block only.
+    Both sides are read several times: pass written tables.
+    """
+    def cells(side: str) -> str:
+        return f"{cell_of(f'{side}_to', width)} - {cell_of(f'{side}_from', width)}"
+
+    longest = max(rows.agg(F.max(F.expr(cells(side)))).first()[0] or 0 for rows, side in ((left, "left"), (right, "right")))
+    top = (longest + 1).bit_length() - 1
+    on = ", ".join([*keys, "level", "node"])
+
+    def starts(of: str) -> str:
+        return (f"(SELECT *, shiftright({cell_of(f'{of}_from', width)}, level) AS node FROM "
+                f"(SELECT *, explode(sequence(0, {top})) AS level FROM {{{of}}}))")
+
+    def ranges(of: str) -> str:
+        cover = dyadic_cover(cell_of(f"{of}_from", width), cell_of(f"{of}_to", width), top)
+        return f"(SELECT * EXCEPT (block), block.level AS level, block.node AS node FROM (SELECT *, explode({cover}) AS block FROM {{{of}}}))"
+
+    return left.sparkSession.sql(f"""
+        SELECT * EXCEPT (level, node) FROM {starts('left')} JOIN {ranges('right')} USING ({on}) WHERE left_from BETWEEN right_from AND right_to
+        UNION ALL
+        SELECT * EXCEPT (level, node) FROM {ranges('left')} JOIN {starts('right')} USING ({on}) WHERE right_from > left_from AND right_from <= left_to
+        """, left=left, right=right)

@@ -497,5 +497,5 @@ def number_alerts(alerts: DataFrame) -> DataFrame:
     """Adds ``alert_no`` and ``alert_id`` (a1, a2, ...) in time order. The key, not the number, is the identity."""
     order = ["first_us", "rule_order", F.coalesce(F.col("src_ip"), F.lit("")), F.coalesce(F.col("user"), F.lit("")),
              "first_id", "tie", "alert_key"]
-    return (numbered(alerts, floor_div(F.col("first_us"), HOUR), order, "alert_no")
+    return (numbered(alerts, order, "alert_no")
             .withColumn("alert_id", F.concat(F.lit("a"), F.col("alert_no").cast("string"))))

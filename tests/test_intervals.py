@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import MINUTE, SECOND, bursts, events, transfers
+from logvigil import session
 from logvigil.config import DEFAULT
-from logvigil.operators import rules
-from logvigil.operators.intervals import burst_rows, numbered, trailing_stats, with_previous, with_running_sum
+from logvigil.operators import intervals, rules
+from logvigil.operators.intervals import burst_rows, dyadic_cover, numbered, overlapping, trailing_stats, with_previous, with_running_sum
 from logvigil.operators.ranks import exact_median
 
 
@@ -68,10 +69,46 @@ def test_carried_lag_and_sum_do_not_depend_on_chunks(spark):
 
 def test_numbering_is_a_global_order(spark):
     df = spark.range(500).withColumn("v", (F.col("id") * 7919) % 503)
-    rows = numbered(df, F.expr("v div 10"), ["v"], "no").orderBy("v").collect()
+    rows = numbered(df, ["v"], "no").orderBy("v").collect()
     assert [r.no for r in rows] == list(range(1, 501))
 
 
+def test_rows_of_one_hour_are_numbered_by_many_tasks(spark, monkeypatch):
+    ranges = []
+    monkeypatch.setattr(intervals, "settled", lambda df, name: ranges.append(session.settled(df, name)) or ranges[-1])
+    df = spark.range(4000).selectExpr("5 AS us", "id * 7919 % 4001 AS tie", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = numbered(df.repartition(4), [F.desc("us"), "tie"], "no").orderBy("no").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.no for r in rows] == list(range(1, 4001)) and [r.tie for r in rows] == sorted(r.tie for r in rows)
+    counts = [r["count"] for r in ranges[0].groupBy("range_no").count().collect()]
+    assert len(counts) == 4 and max(counts) < 2000
+
+
+@pytest.mark.parametrize("longest", [0, 7, 40, 100_000])
+def test_overlaps_equal_all_pairs(spark, longest):
+    rng = random.Random(longest)
+
+    def side(n):
+        out = []
+        for i in range(n):
+            start = rng.randrange(-300, 300) * rng.choice([1, 1, 10])
+            out.append((rng.choice(["a", "b"]), i, start, start + rng.randrange(longest + 1)))
+        return out
+
+    left, right = side(60), side(50)
+    frames = [spark.createDataFrame(rows, f"k string, {name} int, {name}_from bigint, {name}_to bigint") for name, rows in (("left", left), ("right", right))]
+    got = sorted((r.left, r.right) for r in overlapping(*frames, ["k"], 10).collect())
+    assert got == sorted((a[1], b[1]) for a in left for b in right if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3])
+
+
+def test_long_ranges_take_few_rows(spark):
+    few = spark.sql(f"SELECT size({dyadic_cover('a', 'b', 20)}) AS n FROM VALUES (3L, 1000000L), (-5L, -5L), (0L, 0L) AS t(a, b)").collect()
+    assert few[0].n <= 40 and few[1].n == few[2].n == 1
+
+
 @pytest.mark.parametrize("values", [[5], [1, 2], [3, 3, 3, 9], [0, 70_000, 5_000_000_000, 7, 1 << 40], list(range(1000))])
 def test_exact_median(spark, values):
     ordered, n = sorted(values), len(values)
