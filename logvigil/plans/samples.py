@@ -54,10 +54,10 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON-lines log in four dialects; broken lines and unknown events included."""
+    """One JSON-lines log in four dialects; broken lines, unknown events and repeated members, of which the last counts, included."""
     rows = _joined(spark, sf_dir).withColumn("iso", iso(F.col("us")))
     body = F.expr("""CASE event_id % 4
-        WHEN 0 THEN '{"timestamp": "' || iso || '", "src_ip": "[10.3.0.' || (user_id % 250) || ']", "user": "user' || user_id
+        WHEN 0 THEN '{' || CASE WHEN event_id % 5 = 0 THEN '"user": "early", "event": "reboot", ' ELSE '' END || '"timestamp": "' || iso || '", "src_ip": "[10.3.0.' || (user_id % 250) || ']", "user": "user' || user_id
              || '", "event": " FAILED ", "host": "", "hostname": "h' || k || '"}'
         WHEN 1 THEN '{"ts": ' || (us div 1000) || ', "src_ip": null, "ip": "10.3.0.1", "username": ' || user_id
              || ', "type": "accepted"}'
@@ -79,3 +79,18 @@ def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (auth_lines(spark, sf_dir).unionByName(access_lines(spark, sf_dir)).unionByName(json_lines(spark, sf_dir))
             .unionByName(noise_lines(spark, sf_dir)))
+
+
+def security_log(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Writes the security events as JSON lines in time of arrival, a broken line after every 13th, and returns the folder.
+
+    Part files are ranges of the arrival order, so that names and line numbers follow it.
+    """
+    rows = sec_events(spark, sf_dir).select("line_no", F.to_json(F.struct(
+        iso(F.col("us")).alias("ts"), F.col("type").alias("event"), "src_ip", "user", "host", F.col("http.method").alias("method"),
+        F.col("http.path").alias("path"), F.col("http.status").alias("status"), F.col("http.bytes").alias("bytes"),
+        F.col("http.ua").alias("user_agent"))).alias("value"))
+    broken = F.when(F.col("line_no") % 13 == 0, F.array("value", F.lit('{"broken": '))).otherwise(F.array("value"))
+    (rows.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.explode(broken).alias("value"))
+     .write.text(folder))
+    return folder

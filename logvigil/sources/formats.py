@@ -6,9 +6,12 @@ Every parser maps ``file, line_no, raw`` to one row per line with ``parsed`` and
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType
 
 from logvigil import session
 from logvigil.config import MINUTE, Thresholds
@@ -92,8 +95,8 @@ def detect_formats(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> D
     Any columns in line order do, so files need not be numbered first.
     """
     rank = F.row_number().over(Window.partitionBy("file").orderBy(*order))
-    head = lines.withColumn("rank", rank).filter(F.col("rank") <= VOTING_LINES)
-    is_object = F.expr(MEMBERS.format("raw")).isNotNull()
+    head = with_members(lines.withColumn("rank", rank).filter(F.col("rank") <= VOTING_LINES), ["file", "raw"])
+    is_object = F.col("m").isNotNull()
     vote = (F.when(F.col("raw").rlike(AUTH_LINE), "auth").when(F.col("raw").rlike(ACCESS_LINE), "access")
             .when(is_object, "jsonl"))
     counts = head.withColumn("vote", vote).groupBy("file").agg(
@@ -208,11 +211,48 @@ def parse_access(lines: DataFrame) -> DataFrame:
 # --- JSON lines (S7, S11, F5-F7) ------------------------------------------------------------------
 
 
-# A JSON object as SQL map of its members; a member that is null stays distinct from an absent one.
-MEMBERS = "try_variant_get(try_parse_json({0}), '$', 'map<string,variant>')"
 EMPTY = r'^(""|false|null|\\[\\]|\\{\\}|-?0(\\.0*)?([eE].*)?)$'
 
 
+class _Literal(str):
+    """A number as it is written."""
+
+
+def _last_members(text: str) -> str | None:
+    """The same JSON text with the last of repeated members, at every depth; null where it is no JSON."""
+    def no_number(word: str):
+        raise ValueError(word)
+
+    def written(value) -> str:
+        if isinstance(value, _Literal):
+            return value
+        if isinstance(value, dict):
+            return "{" + ",".join(f"{json.dumps(k)}:{written(v)}" for k, v in value.items()) + "}"
+        return "[" + ",".join(map(written, value)) + "]" if isinstance(value, list) else json.dumps(value)
+
+    try:
+        return written(json.loads(text, parse_int=_Literal, parse_float=_Literal, parse_constant=no_number))
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.arrow_udf(StringType())
+def last_members(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else _last_members(t) for t in texts.to_pylist()], "string")
+
+
+def with_members(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds ``m``, the members of the JSON object ``raw``, or null; of repeated members the last one counts.
+
+    A member that is null stays distinct from an absent one.
+    Whether Spark's parser takes repeated members is up to the session. Lines that it refuses, and no others, are read again
+    without the earlier ones, so that the result is the same in every session.
+    """
+    parsed = staged(rows, list(dict.fromkeys([*keep, "raw"])), strict="try_parse_json(raw)")
+    again = parsed.withColumn("again", last_members(F.when(F.col("strict").isNull(), F.col("raw"))))
+    return staged(again, keep, m="try_variant_get(coalesce(strict, try_parse_json(again)), '$', 'map<string,variant>')")
+
+
 def member(key: str) -> str:
     return f"try_element_at(m, '{key}')"
 
@@ -286,7 +326,7 @@ def event_type(name: Column) -> Column:
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    rows = staged(lines, LINE, m=MEMBERS.format("raw"))
+    rows = with_members(lines, LINE)
     values = dict(time=first_present(TIME_KEYS), event=first_present(EVENT_KEYS), ip=first_present(IP_KEYS), who=first_present(USER_KEYS),
                   place=first_truthy(("host", "hostname")), method=member("method"), path=first_truthy(("path", "url")), status=member("status"),
                   size=first_truthy(("bytes", "size", "response_size")), ua=first_truthy(("user_agent", "ua")))

@@ -147,6 +147,25 @@ def test_json_lines(spark):
     assert rows[3].us == 1759543391_123_000 and rows[3].http.status == 404 and rows[3].http.bytes is None and rows[3].src_ip == "::1"
 
 
+@pytest.mark.parametrize("allowed", ["true", "false"])
+def test_the_last_of_repeated_members_counts_in_any_session(spark, allowed):
+    texts = ['{"event": "reboot", "ts": 1767225601, "event": "sudo", "user": "first", "user": "last"}',
+             '{"ts": 1767225602, "event": "sudo", "user": {"a": 1, "b": [{"c": 1.50, "c": 2.50}], "a": "x"}}',
+             '{"event": "http", "ts": 1767225603.123456, "size": "7", "size": 12345678901234567, "status": 404, "status": null}',
+             '{"ts": 1767225604, "ts": NaN, "event": "sudo"}', '{"ts": 1, "ts": 2, "event": "sudo"', '{"ts": 9, "event": "sudo", "user": "\\u00e9", "user": "\\u00df\\n"}']
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+    try:
+        rows = {r.line_no: r for r in formats.parse_jsonl(lines(spark, texts, "a.jsonl")).collect()}
+        assert formats.detect_formats(lines(spark, texts[:1] * 2 + ["no"], "a.jsonl")).first().format == "jsonl"
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+    assert [rows[n].parsed for n in range(1, 7)] == [True, True, True, False, False, True]
+    assert (rows[1].type, rows[1].user, rows[6].user) == ("sudo", "last", "ß\n")
+    assert rows[2].user.replace(" ", "") == '{"a":"x","b":[{"c":2.5}]}'
+    assert (rows[3].us, rows[3].http.bytes, rows[3].http.status) == (1767225603_123456, 12345678901234567, None)
+
+
 def test_detection(spark):
     df = lines(spark, ["junk", *AUTH], "a").union(lines(spark, ACCESS, "b")).union(
         lines(spark, ['{"x": 1}', "{bad"], "c")).union(lines(spark, ["hello", "[1]"], "d"))
