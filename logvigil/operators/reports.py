@@ -32,6 +32,31 @@ def incidents_by_level(incidents: DataFrame) -> DataFrame:
     return levels.join(counts, "level", "left").select("level", F.coalesce("n", F.lit(0).cast("bigint")).alias("incidents"))
 
 
+def run_summary(stats: DataFrame, events: DataFrame, incidents: DataFrame, entities: DataFrame) -> DataFrame:
+    """Everything a dashboard shows of a run (Q4): its six totals, incidents by level, events over time and the five top entities.
+
+    ``part, position, item, label, count, risk_score, level``: totals are named, levels stand in falling order, hours carry
+    their chart label and no position, entities their type as label and their alerts as count.
+    """
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def rows(df: DataFrame, part: str, position, item, label, count, risk=no_number, level=no_text) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), position.alias("position"), item.alias("item"), label.alias("label"),
+                         count.cast("bigint").alias("count"), risk.alias("risk_score"), level.alias("level"))
+
+    each = F.posexplode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("n")) for c in stats.columns])).alias("at", "total")
+    totals = rows(stats.select(each), "total", (F.col("at") + 1).cast("bigint"), F.col("total.item"), no_text, F.col("total.n"))
+    by_level = incidents_by_level(incidents).withColumn("at", F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level")))
+    levels = rows(by_level, "level", F.col("at").cast("bigint"), F.col("level"), no_text, F.col("incidents"))
+    hour = iso(F.col("hour_us"))
+    label = F.concat(F.substring(hour, 1, 10), F.lit(" "), F.substring(hour, 12, 2), F.lit(":00"))
+    hours = rows(events_per_hour(events), "hour", no_number, hour, label, F.col("count"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("risk_score"), "type", "value"))  # five rows
+    top = rows(top_entities(entities).withColumn("place", place.cast("bigint")), "entity", F.col("place"), F.col("value"), F.col("type"),
+               F.col("alert_count"), F.col("risk_score").cast("bigint"), F.col("level"))
+    return totals.unionByName(levels).unionByName(hours).unionByName(top)
+
+
 def top_entities(entities: DataFrame, n: int = 5) -> DataFrame:
     return entities.orderBy(F.desc("risk_score"), "type", "value").limit(n)
 
@@ -120,7 +145,7 @@ def report_lines(cards: DataFrame, story: DataFrame, alerts: DataFrame, sample:
     steps = out(story, 1, F.col("step_no"), F.concat(F.col("step_no").cast("string"), F.lit(". **"), when("us"), F.lit("** ["),
                                                      F.col("stage"), F.lit("] "), F.col("text")))
     advice_head = out(cards, 2, 0, "", "## Recommended response", "")
-    advice = F.filter(F.transform(F.split(F.regexp_replace("recommendation", r"\.+$", ""), r"\. "), F.trim), lambda t: t != "")
+    advice = F.filter(F.transform(F.split(F.regexp_replace("recommendation", r"\.+$", ""), r"\. "), lambda t: F.trim(t)), lambda t: t != "")
     advices = cards.select("incident_id", F.posexplode(advice).alias("a", "text")).select(
         "incident_id", F.lit(3).alias("section"), F.col("a").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"),
         F.concat(F.lit("- "), F.col("text")).alias("text"))
@@ -147,3 +172,38 @@ def report_lines(cards: DataFrame, story: DataFrame, alerts: DataFrame, sample:
     for part in parts[1:]:
         report = report.unionByName(part)
     return report
+
+
+def incident_documents(cards: DataFrame, story: DataFrame, alerts: DataFrame, sample: DataFrame, events: DataFrame) -> DataFrame:
+    """The JSON form of the report as ``incident_id, section, position, json`` (S15): per incident its card, story steps and alerts.
+
+    Each alert holds the evidence shown of it, at most 20 lines, with the number of all. An incident may have any number of
+    alerts, so a document is a run of JSON lines in the order of (section, position), and no row grows with the incident.
+    """
+    def out(df: DataFrame, section: int, position: Column, **fields: Column) -> DataFrame:
+        record = F.struct(*[value.alias(name) for name, value in fields.items()])
+        return df.select("incident_id", F.lit(section).cast("bigint").alias("section"), position.cast("bigint").alias("position"),
+                         F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+
+    c = F.col
+    head = out(cards, 0, F.lit(0), id=c("incident_id"), title=c("title"), risk_score=c("risk_score").cast("bigint"), level=c("level"),
+               entities=F.struct("ips", "users"), start=iso(c("start_us")), end=iso(c("end_us")), stages=c("stages"),
+               summary=c("summary"), recommendation=c("recommendation"))
+    steps = out(story, 1, c("step_no"), ts=iso(c("us")), stage=c("stage"), text=c("text"), alert_id=c("alert_id"))
+    place = F.struct("place", c("event_id").alias("id"), c("sample.file").alias("file"), c("sample.line_no").alias("line_no"), "raw",
+                     iso(c("sample.us")).alias("ts"), c("event.type").alias("type"), c("event.src_ip").alias("src_ip"), c("event.user").alias("user"))
+    shown = (sample.alias("sample").join(events.select(c("id").alias("event_id"), "raw", "type", "src_ip", "user").alias("event"), "event_id")
+             .groupBy("alert_key").agg(F.max("total").alias("evidence_total"), F.array_sort(F.collect_list(place)).alias("shown")))
+    lines = F.transform("shown", lambda e: e.dropFields("place"))
+    told = out(alerts.join(shown, "alert_key", "left"), 2, c("alert_no"), id=c("alert_id"), rule_id=c("rule_id"), rule_name=c("rule_name"),
+               severity=c("severity"), points=c("points").cast("bigint"), stage=c("stage"),
+               mitre=F.struct("tactic", "technique"), entity=F.struct(c("src_ip").alias("ip"), c("user").alias("user")),
+               first_seen=iso(c("first_us")), last_seen=iso(c("last_us")), count=c("count").cast("bigint"), reason=c("reason"),
+               evidence_total=F.coalesce("evidence_total", F.lit(0).cast("bigint")), evidence=lines)
+    return head.unionByName(steps).unionByName(told)
+
+
+def export_documents(documents: DataFrame, folder: str) -> None:
+    """Writes one folder of JSON lines per incident; part files follow the order, and a large incident is cut into several."""
+    (documents.repartitionByRange("incident_id", "section", "position").sortWithinPartitions("incident_id", "section", "position")
+     .select("incident_id", F.col("json").alias("value")).write.partitionBy("incident_id").text(folder))

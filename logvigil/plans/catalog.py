@@ -16,7 +16,7 @@ from logvigil.operators.intervals import burst_rows
 from logvigil.plans.adapter import SCALED, sec_events, table
 from logvigil.plans.analysis import Analysis, analyse
 from logvigil.plans import samples
-from logvigil.plans.run import Run, totals
+from logvigil.plans.run import Run, run, totals
 from logvigil.session import ensure_checkpoint_dir, settled
 from logvigil.sources import formats, store, text as raw_text
 
@@ -147,6 +147,12 @@ def s15(spark, sf):
     return reports.report_lines(found.cards(), found.story(), found.alerts, sample, found.events, "run-1")
 
 
+def s15_json(spark, sf):
+    found = analysis_of(spark, sf)
+    sample = settled(reports.evidence_sample(found.alerts, found.evidence), "sample")
+    return reports.incident_documents(found.cards(), found.story(), found.alerts, sample, found.events)
+
+
 def s15_sample(spark, sf):
     found = analysis_of(spark, sf)
     return reports.evidence_sample(found.alerts, found.evidence).select("alert_id", "event_id", "place", "total")
@@ -208,7 +214,7 @@ def f4(spark, sf):
 
 
 def json_values(spark, sf):
-    return table(spark, sf, "events").select("event_id", "user_id", F.expr("""CASE event_id % 8
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.expr("""CASE event_id % 8
         WHEN 0 THEN '{"ip": "a", "src_ip": null, "size": 12.7, "ts": 1700000000}'
         WHEN 1 THEN '{"client_ip": "b", "bytes": 0, "response_size": "' || event_id || '", "ts": 1700000000123}'
         WHEN 2 THEN '{"bytes": "-", "size": 5, "path": "", "url": "/x", "ts": "2026-10-04T14:02:10+05:30"}'
@@ -216,8 +222,8 @@ def json_values(spark, sf):
         WHEN 4 THEN '{"size": true, "ua": "z", "ts": "2026-10-04"}'
         WHEN 5 THEN '{"bytes": "12.7", "ts": "yesterday"}'
         WHEN 6 THEN '{"response_size": ' || event_id || ', "user_agent": "", "ua": "w", "ts": "2026-02-30T00:00:00Z"}'
-        ELSE '{"remote_addr": "' || user_id || '", "ts": null}' END""").alias("raw")).withColumn(
-            "m", F.expr(formats.MEMBERS.format("raw")))
+        ELSE '{"remote_addr": "' || user_id || '", "ts": null}' END""").alias("raw"))
+    return formats.with_members(rows, ["event_id", "user_id"])
 
 
 def f5(spark, sf):
@@ -458,6 +464,13 @@ def q4(spark, sf):
         "events", "alerts", "incidents", *evaluate.LEVELS, utc("peak.hour_us").alias("peak_hour"), F.col("peak.count").alias("peak_count"), "top_entity")
 
 
+def q4_full(spark, sf):
+    """From log files to the summary of their run."""
+    folder = samples.security_log(spark, sf, f"{ensure_checkpoint_dir(spark).rstrip('/')}/logvigil/log-{uuid.uuid4().hex}")
+    found = run(spark, [folder], SCALED)
+    return reports.run_summary(found.stats, found.analysis.events, found.analysis.incidents, found.analysis.entities)
+
+
 def q5(spark, sf):
     return analysis_of(spark, sf).cards().orderBy("incident_no").select("incident_id", "title", "risk_score", "level", utc("start_us").alias("start_ts"),
                                                   utc("end_us").alias("end_ts"), _lines("stages").alias("stages"), "summary")
@@ -502,7 +515,7 @@ QUERIES: dict[str, Query] = {
     "S8_auth_classification": lambda s, d: formats.events_of(formats.parse_auth(samples.auth_lines(s, d), DEFAULT)).groupBy(
         "type", "user").agg(F.count("*").alias("events")),
     "S9_parse_accounting": s9, "S10_binary_quarantine": s10, "S11_event_codes": s11, "S12_persist_run": s12,
-    "S13_retention": s13, "S14_delete_run": s14, "S15_report_lines": s15, "S15_evidence_sample": s15_sample, "S16_ground_truth": s16,
+    "S13_retention": s13, "S14_delete_run": s14, "S15_report_lines": s15, "S15_incident_json": s15_json, "S15_evidence_sample": s15_sample, "S16_ground_truth": s16,
     "F1_clean_ip": f1, "F2_subnet": f2, "F3_year_rollover": f3, "F4_offset_time": f4, "F5_key_alias": f5, "F6_lenient_int": f6,
     "F7_flexible_time": f7, "F8_url_decode": f8, "F9_attack_signature": f9, "F10_scanner_agent": f10, "F11_normal_hours": f11,
     "F12_whole_minutes": f12, "F13_rule_facts": f13, "F14_reasons": f14, "F15_risk_level": f15, "F16_hour_labels": f16,
@@ -515,7 +528,7 @@ QUERIES: dict[str, Query] = {
     "G1_risk_score": g1, "G2_entity_scores": g2, "C1_shared_key_clusters": c1, "C2_login_pivot": c2, "C3_components": c3,
     "C4_incidents": c4, "N1_story_steps": n1, "N1_story_text": n1_text, "N2_titles": n2, "N3_summaries": n3,
     "V1_entity_quality": v1, "V2_scenario_matches": v2, "V3_false_positives": v3,
-    "Q1_events_per_hour": q1, "Q2_incidents_by_level": q2, "Q3_top_entities": q3, "Q4_run_summary": q4, "Q5_incident_list": q5,
+    "Q1_events_per_hour": q1, "Q2_incidents_by_level": q2, "Q3_top_entities": q3, "Q4_run_summary": q4, "Q4_full_summary": q4_full, "Q5_incident_list": q5,
     "Q6_incident_detail": q6, "Q7_evidence_lines": q7, "Q8_run_list": q8, "Q9_peak_hour": q9, "Q10_techniques": q10,
     "Q10_rules_triggered": q10_rules,
 }

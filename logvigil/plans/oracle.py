@@ -334,6 +334,26 @@ STORY = f"""SELECT incident_id, step_no, make_timestamp(moment) AS ts, stage, CA
       list_sort(coalesce(list(DISTINCT ip) FILTER (coalesce(ip, '') != ''), [])) AS ipl, list_sort(coalesce(list(DISTINCT usr) FILTER (coalesce(usr, '') != ''), [])) AS usl
     FROM steps GROUP BY incident_id, step_no, rule_id))"""
 
+ADVISED = f"""SELECT incident_id, advice, moment, stage_order, no FROM (SELECT *, {ADVICE} AS advice FROM alerts)
+          QUALIFY row_number() OVER (PARTITION BY incident_id, advice ORDER BY moment, stage_order, no) = 1"""
+ADVICES = f"SELECT incident_id, string_agg(advice, '. ' ORDER BY moment, stage_order, no) || '.' AS recommendation FROM ({ADVISED}) GROUP BY incident_id"
+SHOWN = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY us, line_no) AS place,
+        count(*) OVER (PARTITION BY no) AS total FROM evidence) WHERE total <= 20 OR place <= 15 OR place > total - 5"""
+
+
+def _iso(us: str) -> str:
+    return (f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {us} % 1000000 = 0 THEN '' "
+            f"ELSE strftime(make_timestamp({us}), '.%f') END || 'Z'")
+
+
+def _spoken(us: str) -> str:
+    return f"replace(replace({_iso(us)}, 'T', ' '), 'Z', ' UTC')"
+
+
+def _or_dash(values: str) -> str:
+    return f"CASE WHEN len({values}) > 0 THEN array_to_string({values}, ', ') ELSE '-' END"
+
+
 _CODES = "CASE trim(lower(code)) " + " ".join(f"WHEN '{a}' THEN '{t}'" for t, aliases in EVENT_NAMES.items() for a in aliases) + " END"
 _ADDR = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN CASE WHEN user_id % 300 < 256 THEN '10.0.0.' || (user_id % 300) END WHEN 1 THEN '192.168.1.' || (user_id % 256)
     WHEN 3 THEN '2001:db8::' || CASE WHEN user_id % 4096 = 0 THEN '' ELSE lower(to_hex(user_id % 4096)) END WHEN 4 THEN 'fe80::1:' || (user_id % 10)
@@ -375,8 +395,32 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'story', count(*) FROM (SELECT DISTINCT incident_id, step_no FROM steps)"""),
     "S13_retention": sql("SELECT analysis_id, created_at FROM runs ORDER BY created_at DESC, analysis_id LIMIT 10"),
     "S14_delete_run": sql("SELECT analysis_id, events FROM runs WHERE analysis_id != 'run-2024-01-10'"),
-    "S15_evidence_sample": sql("""SELECT 'a' || no AS alert_id, id AS event_id, place, total FROM (SELECT no, id, row_number() OVER (PARTITION BY no ORDER BY us, line_no) AS place,
-        count(*) OVER (PARTITION BY no) AS total FROM evidence) WHERE total <= 20 OR place <= 15 OR place > total - 5"""),
+    "S15_evidence_sample": sql(f"SELECT 'a' || no AS alert_id, id AS event_id, place, total FROM ({SHOWN})"),
+    "S15_incident_json": sql(f"""SELECT incident_id, CAST(0 AS BIGINT) AS section, CAST(0 AS BIGINT) AS position, CAST(to_json({{'id': incident_id, 'title': {_title(0)}, 'risk_score': risk_score, 'level': level,
+          'entities': {{'ips': ips, 'users': users}}, 'start': {_iso('first_us')}, 'end': {_iso('last_us')}, 'stages': stages, 'summary': {SUMMARY}, 'recommendation': recommendation}}) AS VARCHAR) AS json
+          FROM incs JOIN ({ADVICES}) USING (incident_id)
+        UNION ALL SELECT incident_id, 1, step_no, CAST(to_json({{'ts': {_iso('epoch_us(ts)')}, 'stage': stage, 'text': text, 'alert_id': alert_id}}) AS VARCHAR) FROM ({STORY})
+        UNION ALL SELECT incident_id, 2, no, CAST(to_json({{'id': 'a' || no, 'rule_id': rule_id, 'rule_name': rule_name, 'severity': severity, 'points': CAST(points AS BIGINT), 'stage': stage,
+            'mitre': {{'tactic': tactic, 'technique': technique}}, 'entity': {{'ip': ip, 'user': usr}}, 'first_seen': {_iso('first_us')}, 'last_seen': {_iso('last_us')}, 'count': CAST(n AS BIGINT),
+            'reason': reason, 'evidence_total': total, 'evidence': evidence}}) AS VARCHAR) FROM alerts JOIN (
+          SELECT no, total, list({{'id': id, 'file': 'events', 'line_no': line_no, 'raw': 'event ' || line_no || ' ' || event_type, 'ts': {_iso('us')}, 'type': type, 'src_ip': ip, 'user': usr}}
+            ORDER BY place) AS evidence FROM ({SHOWN}) s JOIN (SELECT id, event_type, type, ip, usr FROM sec) USING (id) GROUP BY no, total) USING (no)"""),
+    "S15_report_lines": sql(f"""SELECT incident_id, section, a, CAST(generate_subscripts(lines, 1) - 1 + b AS BIGINT) AS b, unnest(lines) AS text FROM (
+        SELECT incident_id, 0 AS section, CAST(0 AS BIGINT) AS a, 0 AS b, ['# Incident ' || incident_id || ': ' || {_title(0)}, '', '- **Level:** ' || upper(level) || ' (risk ' || risk_score || '/100)',
+            '- **Time span:** ' || {_spoken('first_us')} || ' → ' || {_spoken('last_us')}, '- **IPs:** ' || {_or_dash('ips')}, '- **Users:** ' || {_or_dash('users')},
+            '- **Kill-chain stages:** ' || array_to_string(stages, ' → '), '- **Analysis:** run-1', '', '## Assessment', '', substr(({SUMMARY}), 13), '', '## Attack story', ''] AS lines FROM incs
+        UNION ALL SELECT incident_id, 1, step_no, 0, [step_no || '. **' || {_spoken('epoch_us(ts)')} || '** [' || stage || '] ' || text] FROM ({STORY})
+        UNION ALL SELECT incident_id, 2, 0, 0, ['', '## Recommended response', ''] FROM incs
+        UNION ALL SELECT incident_id, 3, row_number() OVER (PARTITION BY incident_id ORDER BY moment, stage_order, no) - 1, 0, ['- ' || advice] FROM ({ADVISED})
+        UNION ALL SELECT incident_id, 4, 0, 0, ['', '## Alerts and evidence', ''] FROM incs
+        UNION ALL SELECT incident_id, 5, no * 4, 0, ['### a' || no || ' · ' || rule_id || ' ' || rule_name || ' (' || severity || ', ' || technique || ')', '', reason, '',
+            'Evidence: ' || total || ' log line(s)' || CASE WHEN total > 20 THEN ', first 15 and last 5 shown' ELSE '' END, '', '```'] FROM alerts JOIN (
+              SELECT no, count(*) AS total FROM evidence GROUP BY no) USING (no)
+        UNION ALL SELECT incident_id, 5, no * 4 + 1, place, ['events:' || line_no || '  event ' || line_no || ' ' || event_type] FROM ({SHOWN}) s JOIN (SELECT id, event_type FROM sec) USING (id)
+            JOIN (SELECT no, incident_id FROM alerts) USING (no)
+        UNION ALL SELECT incident_id, 5, no * 4 + 1, 16, ['... ' || (total - 20) || ' more line(s) omitted ...'] FROM alerts JOIN (SELECT no, count(*) AS total FROM evidence GROUP BY no) USING (no) WHERE total > 20
+        UNION ALL SELECT incident_id, 5, no * 4 + 2, 0, ['```', ''] FROM alerts
+        UNION ALL SELECT incident_id, 6, 0, 0, ['_Each alert above comes from a fixed rule and cites the lines it rests on. Look into payload and transfer alerts before treating them as a break-in._'] FROM incs)"""),
     "S16_ground_truth": sql("SELECT 'all' AS scenario_id, value FROM bad UNION ALL SELECT sid, value FROM wanted"),
     "F1_clean_ip": f"SELECT event_id, ip FROM ({_ADDR})",
     "F2_subnet": f"""SELECT event_id, CASE WHEN ip LIKE '::ffff:%' THEN '::/64' WHEN ip LIKE '2001:%' THEN '2001:db8::/64' WHEN ip LIKE 'fe80:%' THEN 'fe80::/64'
@@ -424,10 +468,7 @@ ORACLES: dict[str, str] = {
     "N1_story_steps": sql("SELECT incident_id, 'a' || no AS alert_id, step_no, make_timestamp(moment) AS moment FROM steps"),
     "N1_story_text": sql(STORY),
     "N2_titles": sql(f"SELECT incident_id, {_title(0)} AS title, {_title(1)} AS assessment FROM incs"),
-    "N3_summaries": sql(f"""SELECT incident_id, {SUMMARY} AS summary, recommendation FROM incs JOIN (
-        SELECT incident_id, string_agg(advice, '. ' ORDER BY moment, stage_order, no) || '.' AS recommendation FROM (
-          SELECT incident_id, advice, moment, stage_order, no FROM (SELECT *, {ADVICE} AS advice FROM alerts)
-          QUALIFY row_number() OVER (PARTITION BY incident_id, advice ORDER BY moment, stage_order, no) = 1) GROUP BY incident_id) USING (incident_id)"""),
+    "N3_summaries": sql(f"""SELECT incident_id, {SUMMARY} AS summary, recommendation FROM incs JOIN ({ADVICES}) USING (incident_id)"""),
     "V1_entity_quality": sql("""SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 3) WHEN tp + fn = 0 THEN 1.0 ELSE 0.0 END AS precision,
         CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 3) ELSE 1.0 END AS recall FROM (SELECT (SELECT count(*) FROM flagged WHERE value IN (SELECT value FROM bad)) AS tp,
         (SELECT count(*) FROM flagged WHERE value NOT IN (SELECT value FROM bad)) AS fp, (SELECT count(*) FROM bad WHERE value NOT IN (SELECT value FROM flagged)) AS fn)"""),
@@ -448,6 +489,16 @@ ORACLES: dict[str, str] = {
         (SELECT make_timestamp(us // 3600000000 * 3600000000) FROM sec GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS peak_hour,
         (SELECT count(*) FROM sec GROUP BY us // 3600000000 ORDER BY 1 DESC LIMIT 1) AS peak_count,
         (SELECT value FROM ents ORDER BY risk_score DESC, type, value LIMIT 1) AS top_entity FROM incs"""),
+    "Q4_full_summary": sql("""SELECT 'total' AS part, CAST(position AS BIGINT) AS position, item, NULL::VARCHAR AS label, CAST(n AS BIGINT) AS count, NULL::BIGINT AS risk_score, NULL::VARCHAR AS level FROM (
+          SELECT 1 AS position, 'lines_total' AS item, count(*) + count(*) FILTER (line_no % 13 = 0) AS n FROM sec UNION ALL SELECT 2, 'parsed', count(*) FROM sec
+          UNION ALL SELECT 3, 'skipped', count(*) FILTER (line_no % 13 = 0) FROM sec UNION ALL SELECT 4, 'events', count(*) FROM sec
+          UNION ALL SELECT 5, 'alerts', count(*) FROM alerts UNION ALL SELECT 6, 'incidents', count(*) FROM incs)
+        UNION ALL SELECT 'level', CAST(position AS BIGINT), l.level, NULL, (SELECT count(*) FROM incs i WHERE i.level = l.level), NULL, NULL
+          FROM (VALUES ('critical', 1), ('high', 2), ('medium', 3), ('low', 4)) l(level, position)
+        UNION ALL SELECT 'hour', NULL, strftime(h, '%Y-%m-%dT%H:00:00Z'), strftime(h, '%Y-%m-%d %H:00'), count(*), NULL, NULL
+          FROM (SELECT date_trunc('hour', make_timestamp(us)) AS h FROM sec) GROUP BY h
+        UNION ALL (SELECT 'entity', row_number() OVER (ORDER BY risk_score DESC, type, value), value, type, alert_count, risk_score, level FROM ents
+          ORDER BY risk_score DESC, type, value LIMIT 5)"""),
     "Q5_incident_list": sql(f"""SELECT incident_id, {_title(0)} AS title, risk_score, level, make_timestamp(first_us) AS start_ts, make_timestamp(last_us) AS end_ts,
         array_to_string(stages, '|') AS stages, {SUMMARY} AS summary FROM incs"""),
     "Q6_incident_detail": sql("""SELECT a.incident_id, i.risk_score, 'a' || a.no AS alert_id, a.rule_id, e.id AS event_id, make_timestamp(e.us) AS ts, s.type,
