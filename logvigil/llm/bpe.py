@@ -28,7 +28,7 @@ SAFE = 0x530
 END = 256
 #: Words that one half of the table of remembered words holds. When it is full it becomes the older half, and what was
 #: the older half is forgotten unless met again, so frequent words stay and memory is bounded.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Words longer than this many bytes are proposed and merged one by one instead of in bulk.
 LONG = 48
 #: Rows leave a task in batches of about this many bytes.
@@ -375,21 +375,24 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, for a batch of texts."""
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        distinct = set().union(*parts) if parts else set()
-        table = {p: self.young[p] for p in distinct & self.young.keys()}
-        rest = distinct - self.young.keys()
-        again = {p: self.old[p] for p in rest & self.old.keys()}
-        fresh = list(rest - self.old.keys())
+        young, old = self.young, self.old
+        missing = set().union(*parts) - young.keys()
+        for p in missing & old.keys():
+            young[p] = old[p]
+        fresh = list(missing - old.keys())
         # Very large batches are learned in portions, which bounds the arrays.
         for i in range(0, len(fresh), 100_000):
-            again.update(self._learn(fresh[i:i + 100_000]))
-        table.update(again)
-        if len(self.young) + len(again) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(again) <= REMEMBERED:
-            self.young.update((p, ids) for p, ids in again.items() if len(p) <= 64)
-        self.young.setdefault("", b"")
-        return [b"".join(map(table.__getitem__, p)) for p in parts]
+            young.update(self._learn(fresh[i:i + 100_000]))
+        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        for p in fresh:
+            if len(p) > 64:
+                del young[p]
+        if len(young) > REMEMBERED:
+            # What came with this batch is the new younger half, if it is no more than half, and what was there the older one.
+            new = {p: young.pop(p) for p in missing if p in young}
+            self.old, self.young = young, new if len(new) <= REMEMBERED else {}
+            self.young.setdefault("", b"")
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -410,7 +413,7 @@ def surfaces(path: str) -> list[str]:
     return out
 
 
-def slices(sizes: list[int], limit: int = 4 << 20):
+def slices(sizes: list[int], limit: int = 2 << 20):
     """Index ranges whose texts hold about ``limit`` bytes; a longer text is a range of its own."""
     start, held = 0, 0
     for i, size in enumerate(sizes):
