@@ -28,7 +28,7 @@ SAFE = 0x530
 END = 256
 #: Words that one half of the table of remembered words holds. When it is full it becomes the older half, and what was
 #: the older half is forgotten unless met again, so frequent words stay and memory is bounded.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Words longer than this many bytes are proposed and merged one by one instead of in bulk.
 LONG = 48
 #: Rows leave a task in batches of about this many bytes.
@@ -372,28 +372,36 @@ class Encoder:
                 out.append(bpe.encode_words(bpe.split_own(piece))[0])
         return np.concatenate(out).astype("<u4").tobytes() if out else b""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, for a batch of texts."""
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        young, old = self.young, self.old
-        missing = set().union(*parts) - young.keys()
-        for p in missing & old.keys():
-            young[p] = old[p]
-        fresh = list(missing - old.keys())
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, remembered or learned."""
+        out = list(map(self.young.get, parts))
+        missing = [p for p, ids in zip(parts, out) if ids is None]
+        again = {p: self.old[p] for p in missing if p in self.old}
+        fresh = [p for p in missing if p not in again]
         # Very large batches are learned in portions, which bounds the arrays.
         for i in range(0, len(fresh), 100_000):
-            young.update(self._learn(fresh[i:i + 100_000]))
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
-        for p in fresh:
-            if len(p) > 64:
-                del young[p]
-        if len(young) > REMEMBERED:
-            # What came with this batch is the new younger half, if it is no more than half, and what was there the older one.
-            new = {p: young.pop(p) for p in missing if p in young}
-            self.old, self.young = young, new if len(new) <= REMEMBERED else {}
-            self.young.setdefault("", b"")
+            again.update(self._learn(fresh[i:i + 100_000]))
+        found = iter(missing)
+        out = [again[next(found)] if ids is None else ids for ids in out]
+        if len(self.young) + len(again) > REMEMBERED:
+            self.old, self.young = self.young, {"": b""}
+        if len(again) <= REMEMBERED:
+            self.young.update((p, ids) for p, ids in again.items() if len(p) <= 64)
         return out
 
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text of an array, as a large binary array. Only different parts become Python strings."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        # The ids of all parts lie one after the other, so those of a text are one stretch of them.
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[parts.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), ids.buffers()[2]])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, for a batch of texts."""
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -441,8 +449,8 @@ def encode(documents: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             for a, b in slices(byte_sizes(texts)):
-                ids = to_ids.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ids = to_ids.encode_array(texts.slice(a, b - a)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids],
                                                  names=["doc_id", "n_tokens", "ids"])
 
     return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -17,6 +17,8 @@ from logvigil.session import settled
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of text that are encoded together: the more, the fewer strings are looked up twice.
+BATCH = 8 << 20
 #: Bins that the search may try beyond the first solution.
 NODES = 2000
 
@@ -29,10 +31,9 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             rows = []
-            for a, b in slices(byte_sizes(texts)):
-                encoded = to_ids.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                for doc_id, ids in zip(names[a:b], encoded):
-                    ids += end
+            for a, b in slices(byte_sizes(texts), BATCH):
+                for doc_id, found in zip(names[a:b], to_ids.encode_array(texts.slice(a, b - a))):
+                    ids = found.as_py() + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
