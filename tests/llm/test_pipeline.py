@@ -30,6 +30,18 @@ def test_stages(spark, tmp_path):
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def test_different_texts_under_one_id_stay(make):
+    words = [f"w{i}" for i in range(60)]
+    text, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2])
+    rows = [(1, text, "a"), (5, text + " end", "a"), (5, text + " end", "a"), (7, other, "a"), (7, other, "a"), (7, third, "a"), (8, None, "a"), (8, None, "a"), (None, text, "b")]
+    docs = make(rows)
+    out = cp.one_per_group(docs.sparkSession, docs, "")
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert found == sorted([(1, text), (7, other), (7, third), (8, None), (None, text)], key=str)
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("hashpartitioning(") == 2 and final.count("_digest") > 0  # the two sides of the join, nothing for the repeats
+
+
 def test_empty(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
