@@ -24,11 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays, once."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays, once.
+
+    Equal rows count as one; different texts under one kept doc_id all stay, as no other document holds them.
+    """
     found = oddsketch.near_duplicates(docs, width=5, percent=80, name="pipeline")
     kept = settled(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-kept")
     # The join has placed the rows by doc_id, so dropping repeats moves no text again; a union in between would undo that.
-    named = docs.filter("doc_id IS NOT NULL").select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = (docs.filter("doc_id IS NOT NULL").select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi")
+             .withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest", "lang", "source", "n_chars"]))
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
