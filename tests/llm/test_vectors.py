@@ -4,11 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from logvigil.llm import embeddings, toxicity
 
 
-def test_links(spark):
+@pytest.mark.parametrize("tile", [embeddings.TILE, 40])
+def test_links(spark, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
     rnd = np.random.default_rng(5)
     centres = rnd.normal(size=(12, 24))
     vectors = [list(map(float, c + rnd.normal(scale=s, size=24))) for c in centres for s in (0.05, 0.15, 0.2, 0.25) * 4]
@@ -37,6 +40,34 @@ def test_error_bound():
     assert (np.abs(exact - s * t * (p.astype(float) * q).sum(1)) <= e + f * (1 + e)).all()
 
 
+def test_scores_equal_a_dense_forward_pass():
+    rnd = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(40)] + ["vile", "the", "der", "Ünder"]
+    texts = [" ".join(rnd.choice(words, rnd.integers(0, 90))) for _ in range(150)]
+    net = toxicity.fit([(toxicity.slots(t.encode()), int("vile" in t)) for t in texts])
+    toxicity.calibrate(net, [(toxicity.slots(t.encode()), int("vile" in t)) for t in texts])
+
+    def dense(text):
+        """Every position of every filter, one after the other."""
+        hashes = toxicity.slots(text.encode()).tolist()
+        known = net.keys.tolist()
+        rows = [known.index(h) + 1 if h in known else 0 for h in hashes]
+        pooled = []
+        for width in toxicity.WIDTHS:
+            padded = [net.table[r] for r in rows] + [np.zeros(toxicity.DIM)] * max(0, width - len(rows))
+            for f in range(toxicity.FILTERS):
+                pooled.append(max(float(np.concatenate(padded[i:i + width]) @ net.filters[width][:, f]) for i in range(len(padded) - width + 1)))
+        z = float(np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias)
+        hits = net.tongues[rows].sum(0) if rows else np.zeros(1)
+        middle, scale = net.thresholds[list(toxicity.TONGUES)[int(hits.argmax())] if hits.max() else "none"]
+        return 1 / (1 + np.exp(-np.clip(4 * (z - middle) / scale, -30, 30)))
+
+    for text in [*texts[:40], "", "unknown", "vile " * 50]:
+        assert abs(toxicity.score(net, text.encode()) - dense(text)) < 1e-4
+    words = toxicity.indexed(net, toxicity.slots(" ".join(texts).encode()))
+    assert all(abs(toxicity.logit(net, words, block) - toxicity.logit(net, words)) < 1e-4 for block in (1, 2, 7, 100))
+
+
 def test_toxicity(spark, make):
     rnd = random.Random(7)
     words = [f"word{i}" for i in range(300)]
