@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from logvigil.llm import oddsketch, packing
 from logvigil.llm.queries import tokenizer_file
 
@@ -29,7 +31,9 @@ def brute(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_components(make):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_components(make, monkeypatch, block):
+    monkeypatch.setattr(oddsketch.across, "__defaults__", (block,))
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(400)] + ["Größe", "the", "THE"]
     rows, texts = [], [None, "", " \n\t", "one", "ONE", "one two", "ONE  two", "a b " * 5000]
