@@ -17,7 +17,7 @@ from logvigil import session
 from logvigil.config import MINUTE, Thresholds
 from logvigil.functions.net import clean_ip
 from logvigil.functions.timing import EPOCH_NTZ
-from logvigil.operators.intervals import with_running_sum
+from logvigil.operators.intervals import UNBOUNDED, with_running_sum
 from logvigil.session import counted_small, settled, settled_with
 from logvigil.sources.text import VOTING_LINES, cut_lines, file_heads, head_lines, is_binary_head, list_files, numbered_lines, scan_lines, unique_names
 
@@ -128,11 +128,27 @@ def year_turns(times: DataFrame) -> DataFrame:
     return between.unionByName(inside)
 
 
+def turn_bins(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file, first_turn, width, bins`` and ``file, bin, before, turns``: the turns of a file in as many bins of equal width as it has turns.
+
+    A line looks at the turns of its own bin and adds the number ``before`` it. Bins times width is the distance from the first turn to
+    the last, so all lines together look at about one turn each, however many turns there are and wherever they lie.
+    """
+    files = turns.groupBy("file").agg(F.min("line_no").alias("first_turn"), F.expr("(max(line_no) - min(line_no)) div count(*) + 1").alias("width"),
+                                      F.count("*").alias("bins"))
+    held = (turns.join(files, "file").withColumn("bin", F.expr("(line_no - first_turn) div width"))
+            .groupBy("file", "bin").agg(F.sort_array(F.collect_list("line_no")).alias("turns")))
+    every = files.select("file", F.explode(F.expr("sequence(0, bins - 1)")).alias("bin")).join(held, ["file", "bin"], "left")
+    earlier = Window.partitionBy("file").orderBy("bin").rowsBetween(UNBOUNDED, -1)
+    listed = every.withColumn("turns", F.coalesce("turns", F.array().cast("array<bigint>")))
+    return files, listed.withColumn("before", F.coalesce(F.sum(F.size("turns")).over(earlier), F.lit(0)))
+
+
 def with_year(lines: DataFrame, cfg: Thresholds) -> DataFrame:
     """Adds ``turned`` and ``year`` to rows with ``file, line_no, year_us`` (time within a common year, null if malformed).
 
-    A file has few turns of the year, so rows stay where they are and count the turns up to their line in a list per
-    file. Only where damaged files hold more turns than may be sent to every task are all times ordered, and joined to the rows.
+    Rows stay where they are and find the number of turns up to their line in ``turn_bins``. Only where damaged files hold more
+    turns than may be sent to every task are all times ordered, and joined to the rows.
     """
     times = settled(lines.filter("year_us IS NOT NULL").select("file", "line_no", "year_us"), "year-times")
     turns, counted = settled_with(year_turns(times), "year-turns", F.count("*").alias("n"))
@@ -140,10 +156,12 @@ def with_year(lines: DataFrame, cfg: Thresholds) -> DataFrame:
     if not found:
         return lines.withColumn("turned", F.lit(0)).withColumn("year", F.lit(cfg.default_year))
     if found <= session.SMALL_ROWS:
-        listed = turns.groupBy("file").agg(F.sort_array(F.collect_list("line_no")).alias("turns"))
-        rows = lines.join(F.broadcast(listed), "file", "left")
+        files, bins = turn_bins(turns)
+        rows = (lines.join(F.broadcast(files), "file", "left").withColumn("bin", F.expr("least((line_no - first_turn) div width, bins - 1)"))
+                .join(F.broadcast(bins), ["file", "bin"], "left"))
         return (rows.withColumn("turned", F.expr("CAST(coalesce(array_contains(turns, line_no), false) AS INT)"))
-                .withColumn("year", F.expr(f"{cfg.default_year} + coalesce(size(filter(turns, t -> t <= line_no)), 0)")).drop("turns"))
+                .withColumn("year", F.expr(f"CAST({cfg.default_year} + coalesce(before + size(filter(turns, t -> t <= line_no)), 0) AS INT)"))
+                .select(*lines.columns, "turned", "year"))
     marked = times.join(turns.withColumn("turned", F.lit(1).cast("bigint")), ["file", "line_no"], "left").na.fill(0, ["turned"])
     summed = with_running_sum(marked.withColumn("chunk", F.expr(f"line_no div {YEAR_CHUNK}")), ["file"], "chunk", ["line_no"], "turned", "turns")
     return (lines.join(summed.select("file", "line_no", "turned", "turns"), ["file", "line_no"], "left")
@@ -353,9 +371,11 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame, formats: DataFrame, cfg: Thresholds) -> DataFrame:
     """Parses numbered lines, each file by its format. Lines of files whose format is null are kept as not parsed.
 
-    The lines are stored by format once, so each parser reads its own lines and nothing else.
+    The lines are stored by format once, so each parser reads its own lines and nothing else. The formats come to the lines, within
+    a counted bound, so a long file is not gathered in one task.
     """
-    return _parse_stored(settled(lines.join(formats, "file"), "lines", "format"), cfg)
+    known = counted_small(settled(formats, "formats"))
+    return _parse_stored(settled(lines.join(known, "file"), "lines", "format"), cfg)
 
 
 def _parse_stored(known: DataFrame, cfg: Thresholds) -> DataFrame:

@@ -95,6 +95,21 @@ def test_many_blocks_and_turns_are_joined_by_shuffles(spark, monkeypatch):
             assert datetime.fromtimestamp(near[n].us / 1e6).year == year
 
 
+@pytest.mark.parametrize("gap", [2, 40])
+def test_many_turns_cost_a_line_about_one(spark, gap):
+    """Lines look at one turn each on average, whether the turns are spread or stand close together at the end."""
+    marks = sorted({1500 - k * k % 97 for k in range(0, 2 * gap)} | set(range(1000 // gap, 1500, gap * 10)))
+    turns = spark.createDataFrame([("a", n) for n in marks] + [("b", 7)], "file string, line_no bigint")
+    files, bins = formats.turn_bins(turns)
+    rows = (spark.range(1, 2001).selectExpr("id AS line_no", "'a' AS file").join(files, "file").selectExpr(
+        "file", "line_no", "least((line_no - first_turn) div width, bins - 1) AS bin").join(bins, ["file", "bin"], "left").collect())
+    assert all((r.before or 0) + sum(t <= r.line_no for t in r.turns or []) == sum(t <= r.line_no for t in marks) for r in rows)
+    assert len(rows) == 2000 and sum(len(r.turns or []) for r in rows if r.line_no <= marks[-1]) <= 2 * 2000
+    late = [("Jul  1" if n % 2 else "Jan  1") + " 00:00:00 w sshd[1]: x" for n in range(600)]
+    assert {n: datetime.fromtimestamp(r.us / 1e6).year for n, r in parsed_auth(spark, late).items()} == {
+        n: 2026 + (n - 1) // 2 for n in range(1, 601)}
+
+
 def test_heads_do_not_read_whole_files(spark, tmp_path):
     (tmp_path / "long.log").write_text("\n".join(AUTH * 10) + "\n" + "x y z\n" * 4_000_000)
     (tmp_path / "short.log").write_text("\n".join(ACCESS))
