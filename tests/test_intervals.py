@@ -67,6 +67,15 @@ def test_carried_lag_and_sum_do_not_depend_on_chunks(spark):
             last = v if v is not None else last
 
 
+def test_numbering_moves_rows_once(spark):
+    """The result is what was written in ranges: only the counts of the ranges come to it."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"), F.lit("wide").alias("text")).repartition(5)
+    ranked = numbered(df, ["v"], "no")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert [r.no for r in ranked.orderBy("v").collect()] == list(range(1, 1001)) and ranked.columns == ["v", "text", "no"]
+
+
 def test_numbering_is_a_global_order(spark):
     df = spark.range(500).withColumn("v", (F.col("id") * 7919) % 503)
     rows = numbered(df, ["v"], "no").orderBy("v").collect()
