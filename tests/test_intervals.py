@@ -67,6 +67,13 @@ def test_carried_lag_and_sum_do_not_depend_on_chunks(spark):
             last = v if v is not None else last
 
 
+def test_rows_stay_where_they_are_to_find_their_burst(spark):
+    """The cells of bursts are written and counted; only where they are too many do rows move."""
+    df = spark.range(300).selectExpr("'k' || id % 3 AS k", f"id * {MINUTE} AS us", "id")
+    plan = intervals.burst_rows(df, "k", 30 * MINUTE, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_numbering_moves_rows_once(spark):
     """The result is what was written in ranges: only the counts of the ranges come to it."""
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"), F.lit("wide").alias("text")).repartition(5)
