@@ -16,6 +16,8 @@ from logvigil.session import counted_small, settled, side_by_side
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_BREAKS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 ANY_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Printable ASCII without a space at either end: nothing to cut, to repair or to strip.
+PLAIN = r"^[!-~](?:[ -~]*[!-~])?\z"
 # First bytes of binary files, as hex.
 SIGNATURES = ["89504E47", "FFD8FF", "47494638", "25504446", "504B0304", "1F8B", "7F454C46", "4D5A", "424D",
               "52494646", "00000100"]
@@ -38,9 +40,11 @@ def cut_lines(scanned: DataFrame) -> DataFrame:
 
     pos grows by one with each line in the order in which a task reads them, blank lines included.
     """
-    clean = F.make_valid_utf8(F.translate("text", "\x00", ""))
-    return (scanned.select("file", "block", F.explode(F.split("value", OTHER_BREAKS)).alias("text"))
-            .select("file", "block", F.monotonically_increasing_id().alias("pos"), F.btrim(clean, F.lit(SPACES)).alias("raw")))
+    clean = F.btrim(F.make_valid_utf8(F.translate("text", "\x00", "")), F.lit(SPACES))
+    parts = F.when(F.col("plain"), F.array("value")).otherwise(F.split("value", OTHER_BREAKS))
+    return (scanned.select("file", "block", "value", F.col("value").rlike(PLAIN).alias("plain"))
+            .select("file", "block", "plain", F.explode(parts).alias("text"))
+            .select("file", "block", F.monotonically_increasing_id().alias("pos"), F.when(F.col("plain"), F.col("text")).otherwise(clean).alias("raw")))
 
 
 def block_starts(stored: DataFrame) -> DataFrame:
